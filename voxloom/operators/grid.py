@@ -121,10 +121,12 @@ def interpolate_frames(frames: DataFrame, value: str, tile: str = "tile", n: str
     The i-th of k missing frames takes i / (k + 1) of the next frame; legacy_weights gives that share to the previous one.
     value may be a number or an array of pixels.  Frames missing at an end are not made.
     """
-    w = Window.partitionBy(tile).orderBy(n)
-    pairs = frames.withColumns({"_n": F.lead(n).over(w), "_v": F.lead(value).over(w)}).where(F.col("_n") - F.col(n) > 1)
+    w = Window.partitionBy(tile).orderBy(n)  # over numbers alone: pixels come by joins
+    gaps = frames.select(tile, n).withColumn("_n", F.lead(n).over(w)).where(F.col("_n") - F.col(n) > 1)
+    pairs = gaps.join(frames.select(tile, n, value), [tile, n]).join(frames.select(tile, F.col(n).alias("_n"), F.col(value).alias("_v")), [tile, "_n"])
     made = pairs.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") - F.col(n) - 1)))
-    share = F.col("_i") / (F.col("_n") - F.col(n))
+    # a column of its own: within a lambda the name n would mean the new frame number
+    made, share = made.withColumn("_share", F.col("_i") / (F.col("_n") - F.col(n))), F.col("_share")
     first, second = (share, 1 - share) if legacy_weights else (1 - share, share)
     mean = F.zip_with(value, "_v", lambda a, b: F.floor(a * first + b * second).cast("int")) if "array" in dict(frames.dtypes)[value] else F.floor(F.col(value) * first + F.col("_v") * second).cast("int")
     return made.select(tile, (F.col(n) + F.col("_i")).alias(n), mean.alias(value))

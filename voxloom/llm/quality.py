@@ -178,18 +178,22 @@ def join_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(groups) if few else groups, ["_lang", "_source"], "left")
 
 
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
 def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The rows of docs (columns ``keep``, all by default) with their statistics, base_failed, distance2 and kept.
+    """``row`` (a struct of docs' columns ``keep``, all by default) with the statistics, base_failed, distance2 and kept.
 
-    Needs columns lang and source; nulls there form groups of their own.  Documents that fail the base rules take no part in
-    the estimates.  Groups of under ``MIN_GROUP`` rows are judged by the estimate of their language, and if that has too few
-    rows as well, by the base rules alone.  Repeated rows are judged each.
+    Needs columns lang and source; nulls there form groups of their own.  Documents that fail the base rules take no part
+    in the estimates.  Groups of under ``MIN_GROUP`` rows are judged by the estimate of their language, and if that has
+    too few rows as well, by the base rules alone.  Repeated rows are judged each.
     """
     keep = list(docs.columns) if keep is None else keep
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    with_stats = vectors(base_statistics(docs, text_col)).withColumns({"_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
-    cols = [c for c in keep if c not in made]
-    rows = stage(with_stats.select(*cols, *made, "_lang", "_source", *[f"v{i}" for i in range(P)]), "statistics")
+    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # docs' columns travel within a struct: whatever their names, they don't meet those made here
+    bare = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("_text"), group("lang").alias("_lang"), group("source").alias("_source"))
+    with_stats = vectors(base_statistics(bare, "_text"))
+    rows = stage(with_stats.select("row", *MADE, "_lang", "_source", *[f"v{i}" for i in range(P)]), "statistics")
     good = rows.where("not base_failed").select("_lang", "_source", *[f"v{i}" for i in range(P)])
     found = estimates(good)
     small = stage(rows.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("n")).where(f"n < {MIN_GROUP}").select("_lang", "_source"), "small-groups")
@@ -198,13 +202,13 @@ def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         pooled = estimates(good.join(langs, "_lang", "left_semi").withColumn("_source", F.lit("")))
         found = found.unionByName(small.join(pooled.drop("_source"), "_lang"))
     out = join_groups(rows, stage(found, "mcd-all")).withColumn("distance2", _distance())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)).select(*cols, *made, "distance2", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)).select("row", *MADE, "distance2", "kept")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", *MADE, "distance2", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, in their own columns."""
-    return judged(docs).where("kept").select(*docs.columns)
+    return judged(docs).where("kept").select("row.*")

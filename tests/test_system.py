@@ -53,12 +53,14 @@ def test_channels(tiled, spark, tmp_path):
     voxels, tiles, _, size = tiled
     two = lambda df: df.withColumn("channel", F.lit(0)).unionByName(df.withColumn("channel", F.lit(1)))
     acq = pipelines.MultiChannel(two(tiles), two(voxels), pipelines.StitchOptions(size, 25, 25).with_margin(30))
+    assert acq.stitch(0, middle=4).count() == 6
     acq.registrations[0] = graph.expected_registration(tiles, 30, 30)
     assert acq.align(0, 1).exceptAll(acq.registrations[0]).isEmpty()
     assert acq.reconstruct(4).select("channel").distinct().count() == 2
     todo = acq.convert(str(tmp_path / "parts"), 6, existing=two(tiles).where("channel = 0"))
     assert todo.count() == 6
     got = sinks.read_particles(spark, str(tmp_path / "parts"), level=4)
+    assert sinks.has_tree(spark, str(tmp_path / "parts")) and not sinks.has_tree(spark, str(tmp_path / "parts"), "labels")
     assert got.select("channel").distinct().count() == 1 and got.agg(F.max("level")).first()[0] <= 4
 
 

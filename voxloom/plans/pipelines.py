@@ -96,9 +96,14 @@ class MultiChannel:
         sinks.write_particles(out.withColumn("parts_name", F.lit("particles")), path)
         return todo
 
-    def stitch(self, c: int) -> DataFrame:
+    def stitch(self, c: int, middle: int | None = 100) -> DataFrame:
+        """Positions from one channel; middle: the yx projection takes that many planes around the middle one."""
         tiles, voxels = self.channel(c)
-        self.registrations[c] = stitch(projections(voxels, tiles, self.options), tiles, self.options).registration
+        o = self.options
+        if middle and o.z_range is None:
+            depth = voxels.agg(F.max("z") + 1).first()[0]
+            o = replace(o, z_range=(max(0, (depth - middle) // 2), (depth + middle) // 2))
+        self.registrations[c] = stitch(projections(voxels, tiles, o), tiles, o).registration
         return self.registrations[c]
 
     def align(self, reference: int, moving: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..operators import octree
 from .images import encode_npy, encode_tiff
 
 
@@ -43,6 +44,25 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("z double, y double, x double").option("header", "true").csv(path)
 
 
+def write_labels(labels: DataFrame, path: str) -> None:
+    labels.select("z", "y", "x", F.col("label").cast("short").alias("label")).write.mode("overwrite").parquet(path)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema.LABELS).parquet(path)
+
+
+def append_tree(leaves: DataFrame, path: str, l_max: int, parts_name: str = "particles", mode: str = "mean", by: list[str] | None = None) -> None:
+    """Add interior nodes to stored leaves, so that coarser levels can be read by themselves."""
+    tree = octree.fill_tree(leaves, l_max, mode=mode, by=by)
+    write_particles(tree.withColumns({"parts_name": F.lit(parts_name), "is_leaf": F.lit(False)}), path)
+
+
+def has_tree(spark: SparkSession, path: str, parts_name: str = "particles") -> bool:
+    """Whether a stored set can be read at coarser levels."""
+    return not read_particles(spark, path, parts_name).where("not is_leaf").isEmpty()
+
+
 def pending(planned: DataFrame, existing: DataFrame, key: list[str], force: bool = False) -> DataFrame:
     """Planned outputs that don't exist; all of them if forced."""
     return planned if force else planned.join(existing, key, "left_anti")

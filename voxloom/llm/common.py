@@ -42,11 +42,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def discard(staged: DataFrame) -> None:
     """Delete a stage that nothing reads any more."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark = staged.sparkSession
+    for folder in {f.rpartition("/")[0] for f in staged.inputFiles()[:1]}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

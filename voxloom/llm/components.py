@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = stage(both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        old, e = e, stage(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(large), discard(old)
         after = _mark(e)
         if after == before:
             break

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import discard, stage, table
 
 #: Words, word boundaries and symbols, fixed by the contract.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -140,7 +140,8 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
         near = seen.withColumn("before", w - F.col("n")).where(F.col("before") < share * F.col("size"))
         sums = near.groupBy(*key).agg(F.sum("n").alias("n"), F.first("size").alias("size"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(P)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS])
         # the nearest share of a normal sample is narrower than the whole: 1 / factor for 5 dimensions and this share
-        now = stage(_scatter(sums, 1.0 if step < steps - 1 else consistency(share)), "mcd")
+        old, now = now, stage(_scatter(sums, 1.0 if step < steps - 1 else consistency(share)), "mcd")
+        discard(old)
     return now
 
 

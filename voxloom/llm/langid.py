@@ -26,8 +26,8 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Bound of the sample a model is fitted on: documents a language.  Rows are taken by a hash of their id.
 FIT_DOCS = 1_000
-#: Entries of a worker's table of words; a full table is emptied.
-CACHE = 400_000
+#: Entries of a worker's tables of words and of n-grams.
+CACHE = 150_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -47,6 +47,7 @@ class KneserNey:
     def __init__(self, words: dict[str, Counter], order: int = ORDER, discount: float = DISCOUNT):
         self.order, self.langs = order, sorted(words)
         alphabet = {c for w in words.values() for x in w for c in x}
+        self.memory = Memory(CACHE)
         self.base = 1 / (len(alphabet) + 2)  # the end mark and letters never seen
         self.grams: list[list[tuple[np.ndarray, np.ndarray]]] = []
         self.contexts: list[list[tuple[np.ndarray, np.ndarray]]] = []
@@ -87,50 +88,84 @@ class KneserNey:
         hit = h[at] == keys
         return np.where(hit, v[at], missing), hit
 
-    def bits(self, words: list[str]) -> np.ndarray:
-        """Minus log2 of each word's probability (rows) under each language (columns)."""
-        marked = ["\x02" * (self.order - 1) + w + "\x03" for w in words]
-        tops = [m[i : i + self.order] for m in marked for i in range(len(m) - self.order + 1)]
-        starts = np.cumsum([0, *(len(m) - self.order + 1 for m in marked[:-1])])
-        unique, where = np.unique(np.array(tops), return_inverse=True)
-        unique = unique.tolist()
-        keys = [_hashes([g[self.order - k :] for g in unique]) for k in range(1, self.order + 1)]
-        befores = [_hashes([g[self.order - k : -1] for g in unique]) for k in range(1, self.order + 1)]
-        out = np.empty((len(words), len(self.langs)))
+    def _grams_bits(self, grams: list[str]) -> np.ndarray:
+        """Minus log2 of each whole gram's last letter (rows) under each language (columns)."""
+        keys = [_hashes([g[self.order - k :] for g in grams]) for k in range(1, self.order + 1)]
+        befores = [_hashes([g[self.order - k : -1] for g in grams]) for k in range(1, self.order + 1)]
+        out = np.empty((len(grams), len(self.langs)))
         for j in range(len(self.langs)):
-            p = np.full(len(unique), self.base)
+            p = np.full(len(grams), self.base)
             for k in range(self.order):
                 seen, hit = self._find(self.grams[j][k], keys[k], 0.0)
                 back, _ = self._find(self.contexts[j][k], befores[k], 1.0)
                 p = np.where(hit, seen, back * p)
-            out[:, j] = np.add.reduceat(-np.log2(p)[where], starts)
+            out[:, j] = -np.log2(p)
         return out
 
+    def bits(self, words: list[str]) -> np.ndarray:
+        """Minus log2 of each word's probability (rows) under each language (columns)."""
+        n = self.order
+        marked = ["\x02" * (n - 1) + w + "\x03" for w in words]
+        tops = [m[i : i + n] for m in marked for i in range(len(m) - n + 1)]
+        starts = np.cumsum([0, *(len(m) - n + 1 for m in marked[:-1])])
+        return np.add.reduceat(self.memory.rows(tops, self._grams_bits), starts, axis=0)
+
+
+class Memory:
+    """Rows of numbers by key; a full memory is emptied."""
+
+    def __init__(self, most: int):
+        self.most, self.at, self.values = most, {}, None
+
+    def __getstate__(self):
+        return {"most": self.most, "at": {}, "values": None}
+
+    def rows(self, keys: list[str], compute) -> np.ndarray:
+        """The rows of keys; compute(new keys) gives those not kept."""
+        if fresh := set(keys).difference(self.at):
+            if len(self.at) + len(fresh) > self.most:
+                self.at, self.values, fresh = {}, None, set(keys)
+            fresh = sorted(fresh)
+            got = compute(fresh)
+            n = len(self.at)
+            if self.values is None or n + len(got) > len(self.values):
+                room = np.empty((max(2 * n, n + len(got), 4096), got.shape[1]))
+                if n:
+                    room[:n] = self.values[:n]
+                self.values = room
+            self.values[n : n + len(got)] = got
+            self.at.update(zip(fresh, range(n, n + len(got)), strict=True))
+        return self.values[np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))]
+
 
 class Identifier:
     def __init__(self, model: KneserNey, temperature: float = 1.0, threshold: float = 0.0):
         self.model, self.temperature, self.threshold = model, temperature, threshold
-        self.known: dict[str, np.ndarray] = {}
+        self.memory = Memory(CACHE)
+
+    def all_entropies(self, texts_: list[str]) -> list[np.ndarray | None]:
+        """Bits a letter (the end mark counted) of each text under each language; None without letters."""
+        counts = [letters(t) for t in texts_]
+        words = [w for c in counts for w in c]
+        if not words or not self.model.langs:
+            return [None] * len(texts_)
+        rows = self.memory.rows(words, self.model.bits)
+        n = np.fromiter((k for c in counts for k in c.values()), float, len(words))
+        size = np.fromiter(map(len, words), float, len(words)) + 1
+        some = [k for k, c in enumerate(counts) if c]
+        starts = np.cumsum([0, *(len(counts[k]) for k in some[:-1])])
+        h = np.add.reduceat(rows * n[:, None], starts, axis=0) / np.add.reduceat(n * size, starts)[:, None]
+        out: list[np.ndarray | None] = [None] * len(texts_)
+        for k, x in zip(some, h, strict=True):
+            out[k] = x
+        return out
 
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}}
-
-    def entropies(self, text: str) -> np.ndarray | None:
-        """Bits a letter (the end mark counted) under each language; None without letters."""
-        words = letters(text)
-        if not words:
-            return None
-        if fresh := [w for w in words if w not in self.known]:
-            if len(self.known) > CACHE:
-                self.known.clear()
-                fresh = list(words)
-            self.known.update(zip(fresh, self.model.bits(fresh), strict=True))
-        n = np.fromiter(words.values(), float, len(words))
-        return n @ np.array([self.known[w] for w in words]) / (n @ np.array([len(w) + 1 for w in words]))
-
-    def judge(self, text: str) -> tuple[str, float, bool]:
-        h = self.entropies(text)
-        if h is None or not self.model.langs:
+    def judge_all(self, texts_: list[str]) -> list[tuple[str, float, bool]]:
+        """Language, score and rejection of each text."""
+        return [self._judge(h) for h in self.all_entropies(texts_)]
+
+    def _judge(self, h: np.ndarray | None) -> tuple[str, float, bool]:
+        if h is None:
             return UNKNOWN, 0.0, True
         k = int(h.argmin())
         score = float(1 / np.exp2((h[k] - h) * self.temperature).sum())
@@ -141,7 +176,7 @@ def calibrate(model: KneserNey, rows: list[tuple[str, str]]) -> Identifier:
     """Temperature of least log loss on rows (text, language), and a threshold that all but one in 1000 of those it gets
     right reach."""
     plain = Identifier(model)
-    found = [(h, model.langs.index(lang)) for text, lang in rows if lang in model.langs and (h := plain.entropies(text)) is not None]
+    found = [(h, model.langs.index(lang)) for (_, lang), h in zip(rows, plain.all_entropies([t for t, _ in rows]), strict=True) if lang in model.langs and h is not None]
     if not found:
         return plain
     h, y = np.array([x for x, _ in found]), np.array([k for _, k in found])
@@ -202,7 +237,7 @@ def identify(docs: DataFrame, model: Identifier, text_col: str = "text", keep: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.judge(t) for t in texts(b, "_text")]
+            found = shared.value.judge_all(list(texts(b, "_text")))
             lang, score, rejected = (pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_())))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lang, score, rejected], names=names)
 

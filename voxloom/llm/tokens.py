@@ -9,13 +9,14 @@ through the library whole.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
 #: Entries of a worker's table of stretches and of its table of pre-tokens; a full table is emptied.
-CACHE = 600_000
+CACHE, PIECES = 500_000, 100_000
 #: The pre-token pattern of byte-level BPE files (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -40,30 +41,44 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
+    def _token(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         ids = self.tokens.get(piece)
         if ids is None:
-            if len(self.tokens) >= CACHE:
+            if len(self.tokens) >= PIECES:
                 self.tokens.clear()
-            ids = self.tokens[piece] = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+            ids = self.tokens[piece] = self._token(piece)
         return ids
 
     def _stretch(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pieces(text)))
 
+    def _word(self, x: str) -> bytes:
+        """A stretch behind a space; words of letters, alone or before a stop, need no search for pre-tokens."""
+        if x.isalpha():
+            return self._token(" " + x)
+        if x[-1] in ".," and x[:-1].isalpha():
+            return (self.known.get(x[:-1]) or self._token(" " + x[:-1])) + self._piece(x[-1])
+        return self._stretch(" " + x)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if "  " in text or text.endswith(" "):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
-        try:
-            return self._stretch(first) + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
+        ids = list(map(self.known.get, rest))
+        if None in ids:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            for x in set(rest).difference(self.known):
-                self.known[x] = self._stretch(" " + x)
-            return self._stretch(first) + b"".join(map(self.known.__getitem__, rest))
+            known, word = self.known, self._word
+            for k, x in enumerate(ids):
+                if x is None:
+                    w = rest[k]
+                    ids[k] = x = known.get(w) or word(w)
+                    known[w] = x
+        return self._stretch(first) + b"".join(ids)
 
 
 @lru_cache(maxsize=2)

@@ -25,7 +25,7 @@ from .common import bounded_batches, table, texts
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-CACHE = 600_000
+CACHE = 500_000
 
 
 class Codec:

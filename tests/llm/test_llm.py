@@ -382,6 +382,37 @@ def test_forward_is_exact():
     assert better.log10(short).sum() > m.log10(short).sum()
 
 
+def test_training_takes_texts_whole():
+    """Expected counts and likelihood of long texts, against a plain forward-backward pass."""
+    rng, m = np.random.default_rng(1), hmm.Model.first(3, 12)
+    m = hmm.Model.of_counts(np.array([5.0, 1, 0]), np.eye(3) * 40, rng.random((12, 3)) * 9)
+    seqs = [rng.integers(0, 12, n).astype(np.uint16) for n in (1, 64, 65, hmm.WHOLE, hmm.WHOLE + 1, 1500)]
+    want, log = (np.zeros(3), np.zeros((3, 3)), np.zeros((12, 3))), 0.0
+    for s in seqs:
+        a, b = [m.start * m.emit[s[0]]], [np.ones(3)]
+        log += math.log10(a[0].sum())
+        a[0] = a[0] / a[0].sum()
+        for x in s[1:]:
+            n = a[-1] @ m.move * m.emit[x]
+            log += math.log10(n.sum())
+            a.append(n / n.sum())
+        for x in s[:0:-1]:
+            n = m.move @ (m.emit[x] * b[-1])
+            b.append(n / n.sum())
+        b.reverse()
+        for t, x in enumerate(s):
+            g = a[t] * b[t]
+            want[2][x] += g / g.sum()
+            if t == 0:
+                want[0][:] += g / g.sum()
+            else:
+                e = a[t - 1][:, None] * m.move * (m.emit[x] * b[t])[None, :]
+                want[1][:] += e / e.sum()
+    counts = np.zeros(3), np.zeros((3, 3)), np.zeros((12, 3))
+    assert np.isclose(m.expected(seqs, counts), log)
+    assert all(np.allclose(x, y) for x, y in zip(counts, want, strict=True))
+
+
 def test_hmm_odd_rows(odd, none, clash):
     got = hmm.scores(clash, F.col("doc_id") < 8).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got)

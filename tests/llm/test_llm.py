@@ -382,6 +382,18 @@ def test_forward_is_exact():
     assert better.log10(short).sum() > m.log10(short).sum()
 
 
+def test_hmm_gains_over_its_classes(spark):
+    """The trained states, not the smoothing of the classes, make the score."""
+    rng = np.random.default_rng(3)
+    runs = [(i, " ".join(f"{'ab'[(k // 20 + i) % 2]}{rng.integers(0, 30)}" for k in range(200))) for i in range(70)]
+    table = spark.createDataFrame(runs, "doc_id long, text string").repartition(2)  # runs of words of two kinds
+    train = Counter(w for i, t in runs if i % 7 != 2 for w in [*t.split(), "\n"])
+    held = [w for i, t in runs if i % 7 == 2 for w in [*t.split(), "\n"]]
+    unigram = sum(math.log10(train[w] / sum(train.values())) for w in held)  # each word is a class
+    score = hmm.scores(table, F.expr("doc_id % 7 <> 2")).where("not training").agg(F.sum("score")).first()[0]
+    assert (score - unigram) / len(held) > 0.15
+
+
 def test_training_takes_texts_whole():
     """Expected counts and likelihood of long texts, against a plain forward-backward pass."""
     rng, m = np.random.default_rng(1), hmm.Model.first(3, 12)

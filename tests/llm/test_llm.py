@@ -555,6 +555,21 @@ def test_packing_odd_rows(odd, none, clash):
     assert packing.pack(none).count() == 0
 
 
+def test_language_not_learned():
+    rng = np.random.default_rng(5)
+
+    def text(alphabet, n):
+        return " ".join("".join(alphabet[i] for i in np.minimum(rng.geometric(0.4, 5) - 1, len(alphabet) - 1)) for _ in range(n))
+
+    kinds = {"aa": "abcdefg", "bb": "hijklmn"}
+    model = langid.KneserNey({k: Counter(text(a, 3000).split()) for k, a in kinds.items()})
+    told = langid.calibrate(model, [(text(a, 80), k) for k, a in kinds.items() for _ in range(50)])
+    assert [x[2] for x in told.judge_all([text(a, 80) for a in kinds.values()])] == [False, False]
+    other = text("gfeopqrst", 80)  # a bit like the first language, and not in it
+    lang, score, rejected = told.judge_all([other])[0]
+    assert lang == "aa" and score > told.threshold and rejected
+
+
 # the pipeline
 
 

@@ -3,7 +3,8 @@
 For each language a model of order ``ORDER`` over the letters of a word, begun and ended by a mark; lower orders count
 in how many contexts a letter occurs.  All n-grams of all languages are kept as sorted arrays of 64-bit hashes.  A text
 goes to the language with the lowest cross-entropy a letter; softmax with a temperature fitted on training rows held
-back gives the score, and texts under a score that nearly all of those reach are rejected.
+back gives the score, and texts under a score that nearly all of those reach are rejected.  So are texts whose
+cross-entropy is far above that of the rows held back in their language: they are in none of the languages learned.
 
 As a model's context ends at the word, a text's entropy is a sum over words: workers remember the sums of words.
 """
@@ -28,6 +29,8 @@ DISCOUNT = 0.75
 FIT_DOCS = 1_000
 #: Entries of a worker's tables of words and of n-grams.
 CACHE = 150_000
+#: A text's bits a letter may be so many times those of nearly all rows held back.
+LOOSE = 1.5
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -139,8 +142,9 @@ class Memory:
 
 
 class Identifier:
-    def __init__(self, model: KneserNey, temperature: float = 1.0, threshold: float = 0.0):
+    def __init__(self, model: KneserNey, temperature: float = 1.0, threshold: float = 0.0, most: np.ndarray | None = None):
         self.model, self.temperature, self.threshold = model, temperature, threshold
+        self.most = np.full(len(model.langs), np.inf) if most is None else most  # bits a letter, by language
         self.memory = Memory(CACHE)
 
     def all_entropies(self, texts_: list[str]) -> list[np.ndarray | None]:
@@ -169,12 +173,12 @@ class Identifier:
             return UNKNOWN, 0.0, True
         k = int(h.argmin())
         score = float(1 / np.exp2((h[k] - h) * self.temperature).sum())
-        return self.model.langs[k], score, score < self.threshold
+        return self.model.langs[k], score, bool(score < self.threshold or h[k] > self.most[k])
 
 
 def calibrate(model: KneserNey, rows: list[tuple[str, str]]) -> Identifier:
-    """Temperature of least log loss on rows (text, language), and a threshold that all but one in 1000 of those it gets
-    right reach."""
+    """Temperature of least log loss on rows (text, language), a threshold that all but one in 1000 of those it gets
+    right reach, and a limit of the cross-entropy in each language (of all rows, where a language has none)."""
     plain = Identifier(model)
     found = [(h, model.langs.index(lang)) for (_, lang), h in zip(rows, plain.all_entropies([t for t, _ in rows]), strict=True) if lang in model.langs and h is not None]
     if not found:
@@ -187,8 +191,12 @@ def calibrate(model: KneserNey, rows: list[tuple[str, str]]) -> Identifier:
 
     t = min((2.0**k for k in range(-2, 8)), key=lambda t: -np.log(np.maximum(scores(t)[np.arange(len(y)), y], 1e-12)).mean())
     s = scores(t)
-    right = s[np.arange(len(y)), y][s.argmax(1) == y]
-    return Identifier(model, t, min(float(np.quantile(right, 0.001)) / 2, 0.5) if len(right) else 0.0)
+    ok = s.argmax(1) == y
+    if not ok.any():
+        return Identifier(model, t)
+    bits = h.min(1)
+    most = [LOOSE * float(np.quantile(bits[some if some.any() else ok], 0.999)) for some in (ok & (y == k) for k in range(len(model.langs)))]
+    return Identifier(model, t, min(float(np.quantile(s[np.arange(len(y)), y][ok], 0.001)) / 2, 0.5), np.array(most))
 
 
 def fit(rows: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Identifier:

@@ -161,6 +161,15 @@ def test_encoder_equals_library():
         assert e.encode(t) == ids[:-1].tobytes(), t
 
 
+def test_added_tokens_as_the_library():
+    from tokenizers import Tokenizer
+
+    library, e = Tokenizer.from_file(tokens.default_path()), tokens.encoder(tokens.default_path())
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "no token <|endof"):
+        assert e.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert np.frombuffer(e.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 # 3
 
 

@@ -2,8 +2,8 @@
 
 Byte-level BPE codes each pre-token by itself, and a space before a character that isn't one always begins a pre-token.
 So a text without runs of spaces is coded space by space: each stretch between spaces is looked up in the worker's
-table, and only stretches not seen before are cut into pre-tokens and given to the library's model.  Other texts go
-through the library whole.
+table, and only stretches not seen before are cut into pre-tokens and given to the library's model.  Other texts, and
+texts that hold the string of an added token, go through the library whole.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ def byte_letters() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
+        """added: the strings of added tokens in a text are those tokens, as the library has it by default."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not added
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.model = self.library.model
         self.letters = byte_letters()
         self.pieces = regex.compile(PATTERN).findall
@@ -65,7 +67,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if "  " in text or text.endswith(" "):
+        if "  " in text or text.endswith(" ") or any(x in text for x in self.added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         ids = list(map(self.known.get, rest))
@@ -84,7 +86,7 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file."""
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:

@@ -469,6 +469,19 @@ def test_top_k_odd_rows(spark, sf_dir):
     same(topk.op8(spark, sf_dir).toPandas(), connect(sf_dir).execute(topk.SQL8).df())
 
 
+def test_top_k_of_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 1.0])] + [(1, [9.0, -9.0]), (1, [-9.0, 9.0])] * 3 + [(k, [float(x), float(x)]) for k, x in zip(range(2, 12), range(10))]
+    rows += [(50, rng.integers(-3, 4, 2).astype(float).tolist()) for _ in range(3)] + [(11, [9.0, 9.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = [(i, [math.floor(256 * x) for x in e]) for i, e in rows]
+    want = []
+    for q in (0, 50):
+        s = sorted((-sum(x * y for x, y in zip(e, f, strict=True)), j) for i, e in v if i == q for j, f in v if j != q)[:5]
+        want += [(q, k + 1, j, -x) for k, (x, j) in enumerate(s)]
+    assert sorted(map(tuple, topk.op8(spark, str(tmp_path)).collect())) == want
+
+
 # 9
 
 

@@ -62,14 +62,15 @@ def _rows(q, v, j, s, names=("q", "id", "list", "s")) -> pa.RecordBatch:
 ENTRY = "q long, id long, list long, s long"
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, block: int = BLOCK, distinct: bool = True) -> DataFrame:
     """``(query_id, rank, id, score)`` of the k best other vectors of each query, ties to the smaller id.
 
-    vectors: ``(id, v)`` of one length; repeated ids are one entry each and a query takes no part among its own id's rows.
+    vectors: ``(id, v)`` of one length; a query takes no part among its own id's rows.  Every row is an entry of its
+    own, but equal rows are one if ``distinct``; of an id's query rows, the best scores of all count.
     is_query: a condition on id.  Fewer than k candidates: all of them.  No queries: no rows.
     """
     spark = vectors.sparkSession
-    rows = stage(vectors.distinct(), "vectors")
+    rows = stage((vectors.select("id", "v").distinct() if distinct else vectors.select("id", "v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     total = rows.where(is_query).count()
     parts = -(-total // block)
     found = []
@@ -88,31 +89,31 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, block: i
 
 def _block(spark, rows: DataFrame, ids: np.ndarray, query: np.ndarray, k: int, lists: int) -> DataFrame:
     shared = spark.sparkContext.broadcast((ids, query))
-    names = {int(x): i for i, x in enumerate(ids)}
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids, query = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            v, m = b.column(0).to_numpy(), _matrix(b.column(1))
+            v, m, row = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
             step = max(1, CELLS // len(m))
             for a in range(0, len(ids), step):
-                yield ids[a : a + step], v, _partials(query[a : a + step], m, lists), ids[a : a + step][:, None] == v[None, :], a
+                yield ids[a : a + step], v, row, _partials(query[a : a + step], m, lists), ids[a : a + step][:, None] == v[None, :], a
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 1. list >= 0: entries with their partial scores; list < 0: -1 - list's least score."""
-        for q, v, scores, own, _ in chunks(batches):
+        """Phase 1; q: the query's number in the block, id: the entry's row. list >= 0: entries with their partial scores; list < 0: -1 - list's least score."""
+        for ids, _, row, scores, own, a in chunks(batches):
+            q = np.arange(a, a + len(ids))
             for j, s in enumerate(scores):
                 masked = np.where(own, -np.inf, s)
-                at = _best(masked, v, k)
+                at = _best(masked, row, k)
                 got = np.take_along_axis(masked, at, 1)
                 ok = np.isfinite(got)
-                yield _rows(np.repeat(q, ok.sum(1)), v[at][ok], np.full(ok.sum(), j), got[ok])
+                yield _rows(np.repeat(q, ok.sum(1)), row[at][ok], np.full(ok.sum(), j), got[ok])
                 yield _rows(q, np.full(len(q), -1), np.full(len(q), -1 - j), s.min(1))
 
     w = Window.partitionBy("q", "list").orderBy(F.desc("s"), "id")
-    first = stage(rows.select("id", "v").mapInArrow(local, ENTRY), "local-lists")
+    first = stage(rows.select("id", "v", "row").mapInArrow(local, ENTRY), "local-lists")
     best = first.where("list >= 0").withColumn("r", F.row_number().over(w)).where(f"r <= {k}")
     least = first.where("list < 0").groupBy("q").pivot("list", [-1 - j for j in range(lists)]).agg(F.min("s"))
     known = best.groupBy("q", "id").pivot("list", list(range(lists))).agg(F.max("s")).join(least, "q")
@@ -121,13 +122,13 @@ def _block(spark, rows: DataFrame, ids: np.ndarray, query: np.ndarray, k: int, l
     bounds = known.select("q", lower.alias("low")).withColumn("r", F.row_number().over(w)).where(f"r = {k}").select("q", "low")
     cut = np.full(len(ids), -(2.0**62))  # fewer candidates than k: everything counts
     for r in bounds.collect():  # a row a query of the block
-        cut[names[r.q]] = r.low
+        cut[r.q] = r.low
     cutoff = spark.sparkContext.broadcast(cut)
 
     def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phase 2: the entries at or above cutoff / lists; phase 3 happens where the vector is: those whose upper bound
         reaches the cutoff are resolved, and of them the k best of the partition can matter."""
-        for q, v, scores, own, a in chunks(batches):
+        for q, v, _, scores, own, a in chunks(batches):
             low = cutoff.value[a : a + len(q), None]
             enough = np.floor(low / lists)
             reported = [s >= enough for s in scores]
@@ -145,12 +146,12 @@ def _block(spark, rows: DataFrame, ids: np.ndarray, query: np.ndarray, k: int, l
             yield _rows(q[i], v[j], np.zeros(len(i)), exact[i, j])
 
     w = Window.partitionBy("q").orderBy(F.desc("s"), "id")
-    got = rows.select("id", "v").mapInArrow(sufficient, ENTRY).select("q", "id", "s").distinct().withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}")
+    got = rows.select("id", "v", "row").mapInArrow(sufficient, ENTRY).select("q", "id", "s").withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}")
     return got.select(F.col("q").alias("query_id"), F.col("rank").cast("int"), "id", F.col("s").alias("score"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    found = top_k(quantized(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+    found = top_k(quantized(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0, distinct=False)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 

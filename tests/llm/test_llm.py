@@ -111,6 +111,14 @@ def test_simhash_odd_rows(odd, none, clash):
     assert len(ids) == len(set(ids)) and 7 not in ids and {1, 4, 5, 6, 9, 10, 11} <= set(ids) and not {2, 3} & set(ids)
 
 
+def test_keep_one_judges_rows(spark):
+    a, b, c = prose(11, 50), prose(12, 50), prose(13, 50)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert len(got) == 4 and set(got) == {(1, a), (2, b), (3, c), (None, a)}
+
+
 # 2
 
 

@@ -244,14 +244,26 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those near-duplicates whose component has a smaller id; one row stays of repeated ids.
+    """The documents without those near-duplicates whose component has a smaller id; one row stays of repeated ids with
+    equal fingerprints, or with fingerprints of one component.  Other texts under a repeated id are judged by themselves.
 
     Rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    drop = stage(found.where("id <> component_id").select(F.col("id").alias("_drop")).distinct(), "near-copies")
-    kept = docs.join(drop, docs[id_col] == F.col("_drop"), "left_anti")
-    again = kept.groupBy(id_col).count().where("count > 1 and " + id_col + " is not null")
-    if again.isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    bounded_batches(docs.sparkSession)
+    names = [*docs.columns, "_id", "_fp"]
+    schema = docs.withColumn("_id", F.col(id_col).cast("long")).schema.add("_fp", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in texts(b, "_text")], dtype="<u8").view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=names)
+
+    rows = stage(docs.select("*", F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema), "with-fingerprints")
+    classes = stage(rows.where("_id is not null").groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("id")), "classes")
+    comp = components(links(classes.select("fp", F.col("fp").alias("rep"))), "a", "b")
+    first = classes.join(comp, classes.fp == comp.node, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min(F.struct("id", "fp")).alias("m"))
+    first = stage(first.select(F.col("m.id").alias("_first"), F.col("m.fp").alias("_of")), "first-rows")
+    kept = rows.where("_id is not null").join(first, (F.col("_id") == F.col("_first")) & (F.col("_fp") == F.col("_of")), "left_semi")
+    if not kept.groupBy("_id", "_fp").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_fp"])
+    return rows.where("_id is null").unionByName(kept).select(*docs.columns)

@@ -286,3 +286,11 @@ def test_ontology_rules(spark):
     assert at(7) == {"B": 2, "root": 1, "unknown": 1}  # a path of 4 is longer than 7 - 6 + 1: element 7 - 6
     assert at(9) == {"A": 2, "root": 1, "unknown": 1}  # a path of 4 is no longer than 9 - 6 + 1: the one below the root
     assert {r.acronym: r.n for r in atlas.counts_by_acronym(ids, tree, ["a", "root"]).collect()} == {"a": 2, "root": 3}
+
+
+def test_paths_of_a_deep_tree(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    nodes = spark.createDataFrame([(k, k - 1 if k else None) for k in range(21)], "id int, parent_id int")
+    for depth in (4, 16):
+        got = {r.id: r.path for r in atlas.with_paths(nodes, depth).collect()}
+        assert got == {k: list(range(k, -1, -1)) for k in range(21)}

@@ -58,14 +58,21 @@ def presence_density(cells: DataFrame, scale: dict[str, float], sigma: float, si
 def with_paths(nodes: DataFrame, depth: int = 16) -> DataFrame:
     """Regions ``(id, parent_id, ..)`` with ``path``: ids from the region itself up to its root.
 
-    A tree of regions is small; each step joins all regions to their next ancestor, until none has one.
+    A tree of regions is small; each step joins all regions to their next ancestor, until none has one.  depth: steps of
+    one plan, after which the table is checkpointed if there are ancestors left.
     """
     up = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
     now = nodes.withColumns({"path": F.array("id"), "_at": F.col("parent_id")})
-    for _ in range(depth):
-        now = now.join(up, now._at == up._id, "left").withColumn("path", F.when(F.col("_id").isNotNull(), F.concat("path", F.array("_id"))).otherwise(F.col("path")))
-        now = now.withColumn("_at", F.col("_up")).drop("_id", "_up")
-    return now.drop("_at")
+    while True:
+        for _ in range(max(depth, 1)):
+            now = now.join(up, now._at == up._id, "left").withColumn("path", F.when(F.col("_id").isNotNull(), F.concat("path", F.array("_id"))).otherwise(F.col("path")))
+            now = now.withColumn("_at", F.col("_up")).drop("_id", "_up")
+        left = now.join(up, now._at == up._id, "left_semi")
+        if left.isEmpty():
+            return now.drop("_at")
+        if not left.where(F.array_contains("path", F.col("_at"))).isEmpty():
+            raise ValueError("a region is its own ancestor")
+        now = now.checkpoint()
 
 
 def climbed(path: Column, n: int) -> Column:

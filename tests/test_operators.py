@@ -169,6 +169,61 @@ def test_merge_is_max_in_any_order(spark):
         merge.downsampled(a, 3)
 
 
+def test_clahe_pixel_by_pixel(spark):
+    """Each pixel by itself: its rank in the clipped histograms of the four nearest cells, blended by distance."""
+    rng = np.random.default_rng(4)
+    volume = rng.gamma(2.0, 300.0, (2, 24, 20)).astype(int) + 1
+    tiles, clip, levels = 4, 2.0, 16
+    got = image(merge.equalize_hist(voxels(spark, volume), tiles, clip, levels), volume.shape)
+    for z in range(2):
+        plane = volume[z]
+        top, (ny, nx) = plane.max(), plane.shape
+        level = lambda v: v * (levels - 1) // top  # noqa: B023, E731
+        curves = {}
+        for a in range(tiles):
+            for b in range(tiles):
+                mine = [level(plane[y, x]) for y in range(ny) for x in range(nx) if y * tiles // ny == a and x * tiles // nx == b]
+                limit = max(clip * len(mine) / levels, 1)
+                hist = [mine.count(k) for k in range(levels)]
+                spare = sum(max(h - limit, 0) for h in hist) / levels
+                run = np.cumsum([min(h, limit) + spare for h in hist])
+                curves[a, b] = run / max(run[-1], 1)
+        for y in range(ny):
+            for x in range(nx):
+                fy, fx = (y + 0.5) * tiles / ny - 0.5, (x + 0.5) * tiles / nx - 0.5
+                total = 0.0
+                for a, wa in ((int(np.floor(fy)), 1 - (fy - np.floor(fy))), (int(np.floor(fy)) + 1, fy - np.floor(fy))):
+                    for b, wb in ((int(np.floor(fx)), 1 - (fx - np.floor(fx))), (int(np.floor(fx)) + 1, fx - np.floor(fx))):
+                        total += wa * wb * curves[min(max(a, 0), tiles - 1), min(max(b, 0), tiles - 1)][level(plane[y, x])]
+                assert abs(got[z, y, x] - total * top) <= 1.0, (z, y, x)
+
+
+def test_cells_are_taken_in_tile_by_tile(spark):
+    """A cell that stays out keeps no other out: of a chain A, B, C the third is in."""
+    rows = [(0, 0, 1, 0.0, 0.0, 0.0), (0, 1, 2, 0.0, 0.0, 3.0), (0, 2, 3, 0.0, 0.0, 6.0), (0, 3, 4, 0.0, 0.0, 9.0), (1, 0, 5, 50.0, 0.0, 0.0), (1, 1, 6, 50.0, 0.0, 1.0), (1, 1, 7, 50.0, 0.0, 1.2)]
+    c = spark.createDataFrame(rows, "row int, col int, cell_id long, z double, y double, x double")
+    assert sorted(r.cell_id for r in cells.merge_tiles(c).collect()) == [1, 3, 5, 6, 7]  # 6 and 7 are too alike for 5 to tell
+    boxes = spark.createDataFrame([(r, k, -1.0, 99.0, -1.0, 1.0, 3.0 * k - (0.0 if k == 1 else 3.0), 99.0) for r in (0, 1) for k in range(4)], "row int, col int, z0 double, z1 double, y0 double, y1 double, x0 double, x1 double")
+    assert sorted(r.cell_id for r in cells.merge_tiles(c, boxes=boxes).collect()) == [1, 2, 4, 5, 6, 7]  # 1 lies outside the second tile
+    assert cells.merge_tiles(c.limit(0)).count() == 0
+
+
+def test_cells_by_the_fold(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k % 2), int(k % 6) // 2, k, *map(float, rng.uniform(0, 30, 3))) for k in range(240)]
+    c = spark.createDataFrame(rows, "row int, col int, cell_id long, z double, y double, x double")
+    kept = []
+    for tile in sorted({r[:2] for r in rows}):
+        new = [r for r in rows if r[:2] == tile]
+        gone = set()
+        for k in kept:
+            near = sorted((float(np.linalg.norm(np.subtract(k[3:], n[3:]))), n[2]) for n in new)
+            if near[0][0] < 8 and near[0][0] < 0.8 * near[1][0]:
+                gone.add(near[0][1])
+        kept += [r for r in new if r[2] not in gone]
+    assert sorted(r.cell_id for r in cells.merge_tiles(c, 0.8, 8.0).collect()) == sorted(r[2] for r in kept)
+
+
 def test_clahe_widens_contrast(spark):
     rng = np.random.default_rng(3)
     volume = rng.integers(1000, 1100, (1, 32, 32))

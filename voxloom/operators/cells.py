@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .morphology import durable
+
 COORDS = ("z", "y", "x")
 
 
@@ -56,22 +58,48 @@ def to_global(cells: DataFrame, registration: DataFrame) -> DataFrame:
     return cells.join(at, ["row", "col"]).withColumns({c: F.col(c) + F.col(f"_{c}") for c in COORDS}).drop("_z", "_y", "_x")
 
 
-def merge_tiles(cells: DataFrame, lowe_ratio: float = 0.7, distance_max: float = 5.0) -> DataFrame:
-    """Cells ``(row, col, cell_id, z, y, x)`` of all tiles, in whole coordinates, without those that an earlier tile has.
+def tile_matches(cells: DataFrame, lowe_ratio: float = 0.7, distance_max: float = 5.0, boxes: DataFrame | None = None) -> DataFrame:
+    """``id1, id2``: a cell and the one of a later tile that it matches, for every pair of tiles at once.
 
-    Earlier: row by row.  One join for all tiles: a cell is removed if a cell of an earlier tile matches it, nearest and
-    second nearest being sought among the later tile's cells.
+    Nearest and second nearest are sought among the later tile's cells.  boxes ``(row, col, z0, z1, y0, y1, x0, x1)``:
+    extents of the tiles; only cells within the later tile's extent are compared then.
     """
     side = distance_max / max(lowe_ratio, 1e-3)
-    order = F.struct("row", "col")
-    keyed = cells.withColumns({f"_{c}": _cell(c, side) for c in COORDS} | {"_t": order})
+    keyed = cells.withColumns({f"_{c}": _cell(c, side) for c in COORDS} | {"_t": F.struct("row", "col")})
     a = keyed.select(F.col("cell_id").alias("id1"), F.col("_t").alias("t1"), *[F.col(c).alias(f"{c}1") for c in COORDS], *[f"_{c}" for c in COORDS])
     b = keyed.select(F.col("cell_id").alias("id2"), F.col("_t").alias("t2"), *[F.col(c).alias(f"{c}2") for c in COORDS], *[f"_{c}" for c in COORDS])
+    if boxes is not None:
+        limits = boxes.select(F.struct("row", "col").alias("t2"), *[f"{c}{k}" for c in COORDS for k in (0, 1)])
+        limits = limits.select("t2", F.struct(*[F.col(x).alias(f"_{x}") for x in limits.columns[1:]]).alias("box"))
+        inside = lambda k: reduce(lambda x, y: x & y, [(F.col(f"{c}{k}") >= F.col(f"box._{c}0")) & (F.col(f"{c}{k}") <= F.col(f"box._{c}1")) for c in COORDS])
+        b = b.join(limits, "t2").where(inside(2))
     for c in COORDS:
         b = b.withColumn("_s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"_{c}", F.col(f"_{c}") + F.col("_s")).drop("_s")
     d = F.sqrt(reduce(lambda x, y: x + y, [(F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in COORDS]))
-    near = a.join(b, [f"_{c}" for c in COORDS]).where(F.col("t1") < F.col("t2")).select("id1", "t2", "id2", d.alias("distance")).where(F.col("distance") < side)
+    near = a.join(b, [f"_{c}" for c in COORDS]).where(F.col("t1") < F.col("t2"))
+    if boxes is not None:
+        near = near.where(inside(1))
+    near = near.select("id1", "t2", "id2", d.alias("distance")).where(F.col("distance") < side)
     w = Window.partitionBy("id1", "t2").orderBy("distance", "id2")
     two = near.withColumns({"_r": F.row_number().over(w), "_next": F.lead("distance").over(w)}).where("_r = 1")
-    gone = two.where((F.col("distance") < distance_max) & (F.col("_next").isNull() | (F.col("distance") < lowe_ratio * F.col("_next")))).select(F.col("id2").alias("cell_id")).distinct()
-    return cells.join(gone, "cell_id", "left_anti")
+    return two.where((F.col("distance") < distance_max) & (F.col("_next").isNull() | (F.col("distance") < lowe_ratio * F.col("_next")))).select("id1", "id2").distinct()
+
+
+def merge_tiles(cells: DataFrame, lowe_ratio: float = 0.7, distance_max: float = 5.0, boxes: DataFrame | None = None) -> DataFrame:
+    """Cells ``(row, col, cell_id, z, y, x)`` of all tiles, in whole coordinates, taken in tile by tile, row by row: a cell
+    stays out if a cell that is in already matches it.
+
+    What matches what doesn't depend on what is in, so all matches come from one join.  Then rounds over the matches
+    alone settle who is in: a cell that nothing unsettled matches is in, and what it matches is out.  There are as many
+    rounds as the longest chain of matches is long; each settles at least the earliest tile that is left.  Tiles with
+    few cells are treated like all others.
+    """
+    left = durable(tile_matches(cells, lowe_ratio, distance_max, boxes))
+    out = None
+    while not left.isEmpty():
+        targets = left.select(F.col("id2").alias("id1")).distinct()
+        gone = durable(left.join(targets, "id1", "left_anti").select(F.col("id2").alias("cell_id")).distinct())
+        out = gone if out is None else durable(out.unionByName(gone))
+        # matches of cells that are out count no more, and what is out needs no others
+        left = durable(left.join(gone.withColumnRenamed("cell_id", "id2"), "id2", "left_anti").join(gone.withColumnRenamed("cell_id", "id1"), "id1", "left_anti").select("id1", "id2"))
+    return cells if out is None else cells.join(out, "cell_id", "left_anti")

@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COORDS = ("z", "y", "x")
@@ -15,14 +15,19 @@ SIX = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 BLOCK = 64
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only for local masters that set none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or "file://" + tempfile.mkdtemp(prefix="voxloom-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the folder that spark.checkpoint.dir names."""
+    """df cut from its lineage by a checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="voxloom-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

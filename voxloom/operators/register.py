@@ -38,6 +38,22 @@ def nrmse(reference: np.ndarray, moving: np.ndarray, shift: tuple[int, int]) ->
     return float(np.sqrt(np.mean((reference.astype(float) - moved) ** 2)) / max(reference.mean(), 1e-12))
 
 
+def shift_quality(pixels: DataFrame, shift: tuple[int, int], by: list[str] | None = None) -> DataFrame:
+    """``by, reliability, nrmse`` of a shift between images ``(by, p, q, reference, moving)``; absent pixels are zero.
+
+    A task holds a pair of planes at a time.
+    """
+    by = by or []
+    schema = pixels.select(*by).schema.add("reliability", "double").add("nrmse", "double")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        shape = (int(group.p.max()) + 1, int(group.q.max()) + 1)
+        a, b = (_image(group.rename(columns={c: "v"}), shape) for c in ("reference", "moving"))
+        return group[by].iloc[:1].assign(reliability=reliability(a, b, shift), nrmse=nrmse(a, b, shift))
+
+    return pixels.groupBy(*by).applyInPandas(run, schema)
+
+
 def default_kernel(reference: np.ndarray, moving: np.ndarray) -> tuple[int, int, float]:
     """Shift by phase correlation; error: reliability over the root of the mean, times 10."""
     dy, dx, _ = phase_correlation(reference, moving)

@@ -6,7 +6,6 @@ tree of regions from region, nation and customer.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -205,7 +204,10 @@ def z_color(s, d):
     return project.depth_colour(vox(s, d))
 
 
-@query()
+_PART = "CAST(floor((w - w * greatest(0.0, least((k + h * 6) % 6, 4 - (k + h * 6) % 6, 1.0))) * 255) AS INTEGER)"
+
+
+@query(f"SELECT y, x, {_PART.replace('k', '5.0')} AS r, {_PART.replace('k', '3.0')} AS g, {_PART.replace('k', '1.0')} AS b FROM (SELECT y, x, h, CAST(CASE WHEN hi <= lo THEN 0 ELSE floor(least(greatest((ln(v + 200) - lo) / (hi - lo), 0.0), 1.0) * 255) END AS INTEGER) / 255 AS w FROM deep, (SELECT quantile_cont(ln(v + 200), 0.01) AS lo, quantile_cont(ln(v + 200), 0.999) AS hi FROM deep))".replace("FROM deep", "FROM (SELECT y, x, v, CAST(z AS DOUBLE) / 8 AS h FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY v DESC, z) AS n FROM vox) WHERE n = 1) deep"), "vox")
 def z_color_rgb(s, d):
     return project.depth_rgb(project.depth_colour(vox(s, d)), 8)
 
@@ -303,11 +305,25 @@ def _leaves(s, d):
     return octree.encode(vox(s, d), 5, 0.4, 108.0, l_min=4).select("level", *octree.CELL, "v")
 
 
+def _full_tree() -> str:
+    """Five levels of merging: the nodes of a level, their cubes, and the nodes whose cube can't merge."""
+    out = ["n5 AS (SELECT z AS z_l, y AS y_l, x AS x_l, CAST(v AS DOUBLE) AS v, CAST(v AS DOUBLE) AS lo, CAST(v AS DOUBLE) AS hi, 1 AS n FROM vox)"]
+    for k in range(4, -1, -1):
+        out.append(f"g{k} AS (SELECT *, n = {8 ** (5 - k)} AND (hi - lo) / 2 <= 0.2 * greatest(v, 108.0) AS ok FROM (SELECT z_l // 2 AS cz, y_l // 2 AS cy, x_l // 2 AS cx, min(lo) AS lo, max(hi) AS hi, sum(n) AS n, sum(v * n) / sum(n) AS v FROM n{k + 1} GROUP BY 1, 2, 3))")
+        out.append(f"n{k} AS (SELECT cz AS z_l, cy AS y_l, cx AS x_l, v, lo, hi, n FROM g{k} WHERE ok)")
+    parts = [f"SELECT {k + 1} AS level, z_l, y_l, x_l, m.v FROM n{k + 1} m JOIN g{k} ON z_l // 2 = cz AND y_l // 2 = cy AND x_l // 2 = cx WHERE NOT ok" for k in range(5)]
+    every = " UNION ALL ".join([*parts, "SELECT 0, z_l, y_l, x_l, v FROM n0"])
+    return ", ".join(out) + f" SELECT CAST(level AS INTEGER) AS level, CAST(z_l AS INTEGER) AS z_l, CAST(y_l AS INTEGER) AS y_l, CAST(x_l AS INTEGER) AS x_l, round(v, 6) AS v FROM ({every})"
+
+
 @query()
 def octree_encode_full(s, d):
     return octree.encode(vox(s, d), 5).select("level", *octree.CELL, F.round("v", 6).alias("v"))
 
 
+SQL["octree_encode_full"] = sql("", "vox").rstrip() + ", " + _full_tree()
+
+
 for _name, _run, _text in (
     ("octree_encode", lambda s, d: _leaves(s, d).withColumn("v", F.round("v", 6)), "SELECT CAST(level AS INTEGER) AS level, z_l, y_l, x_l, round(v, 6) AS v FROM leaf"),
     ("reconstruct_constant", lambda s, d: octree.reconstruct(_leaves(s, d), 5).withColumn("v", F.round("v", 6)), "SELECT z, y, x, round(CASE WHEN ok THEN m ELSE v END, 6) AS v FROM vox JOIN cube ON z // 2 = cz AND y // 2 = cy AND x // 2 = cx"),
@@ -432,18 +448,18 @@ _IMAGES = "ref AS (SELECT y.y, x.x, coalesce(max(v) FILTER (WHERE vox.z <= 3), 0
 
 
 def _pairs(s, d):
-    every = s.range(1024).select(F.floor(F.col("id") / 32).cast("int").alias("y"), (F.col("id") % 32).cast("int").alias("x"))
-    flat = vox(s, d).groupBy("y", "x").agg(F.coalesce(F.max(F.when(F.col("z") <= 3, F.col("v"))), F.lit(0)).alias("a"), F.coalesce(F.max(F.when(F.col("z") > 3, F.col("v"))), F.lit(0)).alias("b"))
-    image = every.join(flat, ["y", "x"], "left").fillna(0)
-    moved = image.select(F.pmod(F.col("y") + 3, F.lit(32)).alias("y"), F.pmod(F.col("x") + 5, F.lit(32)).alias("x"), F.col("b"))
-    return image.select("y", "x", "a").join(moved, ["y", "x"])
+    """The largest values of the lower and of the upper half, as two images of 32 x 32."""
+    every = s.range(1024).select(F.floor(F.col("id") / 32).cast("int").alias("p"), (F.col("id") % 32).cast("int").alias("q"))
+    half = lambda c: F.coalesce(F.max(F.when(c, F.col("v"))), F.lit(0))
+    flat = vox(s, d).groupBy(F.col("y").alias("p"), F.col("x").alias("q")).agg(half(F.col("z") <= 3).alias("reference"), half(F.col("z") > 3).alias("moving"))
+    return every.join(flat, ["p", "q"], "left").fillna(0)
 
 
-for _name, _col, _text in (
-    ("reliability_p99", lambda: F.round(2 * F.percentile("a", F.lit(0.99)) / F.percentile(F.col("a") + F.col("b"), F.lit(0.99)), 6).alias("reliability"), "SELECT round(2 * quantile_cont(a, 0.99) / quantile_cont(a + b, 0.99), 6) AS reliability FROM pair"),
-    ("nrmse", lambda: F.round(F.sqrt(F.avg((F.col("a") - F.col("b")).cast("double") * (F.col("a") - F.col("b")))) / F.avg("a"), 6).alias("nrmse"), "SELECT round(sqrt(avg(CAST(a - b AS DOUBLE) * (a - b))) / avg(a), 6) AS nrmse FROM pair"),
+for _name, _text in (
+    ("reliability_p99", "SELECT round(2 * quantile_cont(a, 0.99) / quantile_cont(a + b, 0.99), 6) AS reliability FROM pair"),
+    ("nrmse", "SELECT round(sqrt(avg(CAST(a - b AS DOUBLE) * (a - b))) / avg(a), 6) AS nrmse FROM pair"),
 ):
-    QUERIES[_name] = lambda s, d, col=_col: _pairs(s, d).agg(col())
+    QUERIES[_name] = lambda s, d, col=_name.removesuffix("_p99"): register.shift_quality(_pairs(s, d), (3, 5)).select(F.round(col, 6).alias(col))
     SQL[_name] = sql(_text, "vox").replace(f"vox AS ({VIEWS['vox']})", f"vox AS ({VIEWS['vox']}), {_IMAGES}", 1)
 
 
@@ -651,10 +667,22 @@ def overlap_box(s, d):
     return c.select("c_custkey", cells.in_box(c, {"z": 1000, "y": 100, "x": 3}, {"z": 5000, "y": 900, "x": 20}).alias("inside"))
 
 
-@query()
+def _fold(tiles_: int) -> str:
+    """Cells taken in tile by tile: o<k> are those of tile k that one of an earlier tile matches which is in."""
+    near = "near AS (SELECT a.cell_id AS id1, b.cell_id AS id2, b.cell_id % {n} AS t2, sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS dist FROM cell a JOIN cell b ON a.cell_id % {n} < b.cell_id % {n})".replace("{n}", str(tiles_))
+    two = "two AS (SELECT *, row_number() OVER w AS r, lead(dist) OVER w AS nxt FROM near WINDOW w AS (PARTITION BY id1, t2 ORDER BY dist, id2))"
+    hit = "hit AS (SELECT id1, id2, t2 FROM two WHERE r = 1 AND dist < 20 AND (nxt IS NULL OR dist < 0.9 * nxt)), o0 AS (SELECT id2 FROM hit WHERE false)"
+    steps = [f"o{k} AS (SELECT id2 FROM o{k - 1} UNION SELECT id2 FROM hit WHERE t2 = {k} AND id1 NOT IN (SELECT id2 FROM o{k - 1}))" for k in range(1, tiles_)]
+    return ", ".join([near, two, hit, *steps])
+
+
+@query("SELECT cell_id FROM cell WHERE cell_id NOT IN (SELECT id2 FROM o4)", "cell")
 def merge_cells(s, d):
-    c = cell(s, d).withColumns({"row": (F.col("cell_id") % 2).cast("int"), "col": F.lit(0)})
-    return cells.merge_tiles(c).select("cell_id")
+    c = cell(s, d).withColumns({"row": (F.col("cell_id") % 5).cast("int"), "col": F.lit(0)})
+    return cells.merge_tiles(c, lowe_ratio=0.9, distance_max=20.0).select("cell_id")
+
+
+SQL["merge_cells"] = SQL["merge_cells"].replace(f"cell AS ({VIEWS['cell']})", f"cell AS ({VIEWS['cell']}), {_fold(5)}", 1)
 
 
 # atlas
@@ -710,8 +738,7 @@ def area_mask(s, d):
 def stream_complete_tiles(s, d):
     """Replay of the events as a stream that ends; the result is the last state of its sink."""
     stream = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet" if not _folder(s, f"{d}/events.parquet") else "*").parquet(d if not _folder(s, f"{d}/events.parquet") else f"{d}/events.parquet")
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="voxloom-")
-    out = f"{base}/live-{uuid.uuid4().hex}"
+    out = f"{morphology.shared_folder(s)}/live-{uuid.uuid4().hex}"
     frames_ = stream.select(F.col("user_id").alias("tile"))
     live.run_available(live.complete_tiles(frames_, ["tile"], 60), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), f"{out}-checkpoint")
     return s.read.parquet(out).groupBy("tile").agg(F.max("n_frames").alias("n_frames"))

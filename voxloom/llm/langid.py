@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, texts
+from .common import bounded_batches, free, table, texts
 
 ORDER = 4
 DISCOUNT = 0.75
 #: Bound of the sample a model is fitted on: documents a language.  Rows are taken by a hash of their id.
 FIT_DOCS = 1_000
+#: Languages learned at most, the most frequent first: the sample is bounded whatever a column holds.
+LANGS = 256
 #: Entries of a worker's tables of words and of n-grams.
 CACHE = 150_000
 #: A text's bits a letter may be so many times those of nearly all rows held back.
@@ -36,8 +38,13 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str) -> Counter:
-    """Counts of the lower-case words of letters."""
-    return Counter(LETTERS.findall(text.lower()))
+    """Counts of the lower-case words of letters; signs that only stand for numbers are no letters."""
+    found = Counter(LETTERS.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
 
 
 def _hashes(grams: list[str]) -> np.ndarray:
@@ -176,14 +183,13 @@ class Identifier:
         return self.model.langs[k], score, bool(score < self.threshold or h[k] > self.most[k])
 
 
-def calibrate(model: KneserNey, rows: list[tuple[str, str]]) -> Identifier:
-    """Temperature of least log loss on rows (text, language), a threshold that all but one in 1000 of those it gets
+def calibrate(model: KneserNey, found: list[tuple[str, np.ndarray]]) -> Identifier:
+    """Temperature of least log loss on rows (language, entropies), a threshold that all but one in 1000 of those it gets
     right reach, and a limit of the cross-entropy in each language (of all rows, where a language has none)."""
-    plain = Identifier(model)
-    found = [(h, model.langs.index(lang)) for (_, lang), h in zip(rows, plain.all_entropies([t for t, _ in rows]), strict=True) if lang in model.langs and h is not None]
-    if not found:
-        return plain
-    h, y = np.array([x for x, _ in found]), np.array([k for _, k in found])
+    some = [(h, model.langs.index(lang)) for lang, h in found if lang in model.langs]
+    if not some:
+        return Identifier(model)
+    h, y = np.array([x for x, _ in some]), np.array([k for _, k in some])
 
     def scores(t: float) -> np.ndarray:
         z = np.exp2((h.min(1, keepdims=True) - h) * t)
@@ -200,12 +206,14 @@ def calibrate(model: KneserNey, rows: list[tuple[str, str]]) -> Identifier:
 
 
 def fit(rows: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Identifier:
-    """Fit on at most about ``fit_docs`` rows a language, one in ten of them held back to calibrate.
+    """Fit on at most about ``fit_docs`` rows of each of the ``LANGS`` most frequent languages, one in ten of them held back
+    to calibrate.
 
-    Rows without a language or text take no part.  No rows: everything is ``und``.
+    Rows without a language or text take no part.  No rows: everything is ``und``.  Repeated rows are drawn together.
+    Texts are counted, and scored to calibrate, where they are: only counts and entropies come to the driver.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not sizes:
         return Identifier(KneserNey({}))
     parts = 1 << 30
@@ -228,24 +236,36 @@ def fit(rows: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "l
         for lang, word, n in zip(*(c.to_pylist() for c in r.columns), strict=True):
             words.setdefault(lang, Counter())[word] = n
     model = KneserNey(words)
-    held = sample.where("held").select("text", "lang").where("text is not null")
-    return calibrate(model, [(r.text, r.lang) for r in held.collect()])
+    plain = rows.sparkSession.sparkContext.broadcast(Identifier(model))  # bounded by the sample
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(lang, h.tolist()) for lang, h in zip(b.column(1).to_pylist(), plain.value.all_entropies(list(texts(b, "text"))), strict=True) if h is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([h for _, h in got], pa.list_(pa.float64()))], names=["lang", "h"])
+
+    held = sample.where("held").select("text", "lang").mapInArrow(score, "lang string, h array<double>").collect()
+    return calibrate(model, [(r.lang, np.array(r.h)) for r in held])
 
 
 def identify(docs: DataFrame, model: Identifier, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (columns ``keep``) with lang_pred, lang_score and lang_rejected.  Null texts and texts without letters:
-    ``und``, 0, rejected."""
+    ``und``, 0, rejected.
+
+    Texts are taken whole, however long: a text's entropy is a sum over its distinct words.  Repeated rows are judged
+    each; ties go to the first language by name; no rows: no rows.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     keep = list(docs.columns) if keep is None else keep
-    kept = docs.select(*keep, F.col(text_col).alias("_text"))
+    given = free(docs.columns, "text")
+    kept = docs.select(*keep, F.col(text_col).alias(given))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = shared.value.judge_all(list(texts(b, "_text")))
+            found = shared.value.judge_all(list(texts(b, given)))
             lang, score, rejected = (pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_())))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lang, score, rejected], names=names)
 
@@ -266,4 +286,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is told with enough certainty, in their own columns; the model learns from docs."""
     model = fit(docs, "doc_id")
-    return identify(docs, model).where("not lang_rejected").select(*docs.columns)
+    # docs' columns travel within a struct: whatever their names, they don't meet those made here
+    bare = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    return identify(bare, model, keep=["row"]).where("not lang_rejected").select("row.*")

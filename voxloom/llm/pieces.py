@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, texts
+from .common import bounded_batches, free, table, texts
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -137,21 +137,23 @@ def default_path(name: str = "piece_bpe_32k.model") -> str:
 
 def _per_text(df: DataFrame, column: str, name: str, kind: str, arrow: pa.DataType, function) -> DataFrame:
     bounded_batches(df.sparkSession)
-    schema = df.schema
-    if name in df.columns:
-        schema = df.drop(name).schema
-    keep = schema.fieldNames()
-    schema = schema.add(name, kind)
+    keep = [c for c in df.columns if c != name]
+    schema = df.select(*keep).schema.add(name, kind)  # of a new frame: a frame's schema is one object, and add changes it
+    given = free(df.columns, "in")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([function(x) for x in b.column(b.num_columns - 1).to_pylist()], arrow)], names=[*keep, name])
 
-    return df.select(*keep, F.col(column).alias("_in")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(column).alias(given)).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
-    """docs with the ids of each text (binary).  Null and empty texts have none; a column of that name is replaced."""
+    """docs with the ids of each text (binary).  Null and empty texts have none; a column of that name is replaced.
+
+    Texts are taken whole, however long, in time proportional to their length; repeated rows are encoded each; no rows: no
+    rows.
+    """
     path = path or default_path()
     return _per_text(docs, text_col, out, "binary", pa.binary(), lambda t: codec(path).encode(t or ""))
 

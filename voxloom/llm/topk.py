@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import new_path, stage, table
 
 LISTS = 2
 #: Queries of a block: with 64 dimensions, 4 MB.
@@ -39,8 +39,17 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
+def even(rows: DataFrame) -> DataFrame:
+    """rows with all vectors v as long as the longest: what a shorter one lacks counts as zero."""
+    size = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if size[0] == size[1]:
+        return rows
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size[1]) - F.size("v"))))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy()[: len(column) * (len(column.values) // max(1, len(column)))].reshape(len(column), -1) if column.offset == 0 else np.array(column.to_pylist(), float)
+    values = column.flatten().to_numpy()
+    return values.reshape(len(column), len(values) // max(1, len(column)))
 
 
 def _partials(query: np.ndarray, vectors: np.ndarray, lists: int) -> list[np.ndarray]:
@@ -65,26 +74,25 @@ ENTRY = "q long, id long, list long, s long"
 def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, block: int = BLOCK, distinct: bool = True) -> DataFrame:
     """``(query_id, rank, id, score)`` of the k best other vectors of each query, ties to the smaller id.
 
-    vectors: ``(id, v)`` of one length; a query takes no part among its own id's rows.  Every row is an entry of its
-    own, but equal rows are one if ``distinct``; of an id's query rows, the best scores of all count.
-    is_query: a condition on id.  Fewer than k candidates: all of them.  No queries: no rows.
+    vectors: ``(id, v)``, shorter vectors as if filled up with zeros; a query takes no part among its own id's rows.
+    Every row is an entry of its own, but equal rows are one if ``distinct``; of an id's query rows, the best scores of
+    all count.  is_query: a condition on id.  Fewer than k candidates: all of them.  No queries: no rows.
     """
     spark = vectors.sparkSession
     rows = stage((vectors.select("id", "v").distinct() if distinct else vectors.select("id", "v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = even(rows)
     total = rows.where(is_query).count()
     parts = -(-total // block)
-    found = []
+    folder = new_path(spark, "top-k")
+    empty = spark.createDataFrame([], "query_id long, rank int, id long, score long")
+    empty.write.parquet(folder)
     for b in range(max(parts, 1)):
         mine = rows.where(is_query & (F.pmod(F.xxhash64("id"), F.lit(max(parts, 1))) == b)).orderBy("id")
         got = mine.toArrow()  # one block
         if got.num_rows:
-            found.append(_block(spark, rows, np.array(got.column("id")), _matrix(got.column("v").combine_chunks()), k, lists))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
-    return out
+            block_ = _block(spark, rows, np.array(got.column("id")), _matrix(got.column("v").combine_chunks()), k, lists)
+            block_.write.mode("append").parquet(folder)  # so that a later block's plan doesn't hold those before it
+    return spark.read.schema(empty.schema).parquet(folder)
 
 
 def _block(spark, rows: DataFrame, ids: np.ndarray, query: np.ndarray, k: int, lists: int) -> DataFrame:
@@ -163,7 +171,7 @@ WITH v AS (
 ),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+         CAST(coalesce(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import bounded_batches, table, texts
+from .common import bounded_batches, free, table, texts
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 #: The rest of a tag: quotes count behind an equals sign only. Possessive throughout, so it never tries twice.
@@ -202,16 +202,25 @@ class Page:
         ], 1)
 
     def main_text(self, odds: np.ndarray) -> str:
-        """Runs that stay when the labels of all nodes are chosen for most likelihood, a node's rejection holding for all
-        below it."""
-        keep_p, drop_p = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
-        keep, drop = keep_p.copy(), drop_p.copy()
-        for i in range(len(odds) - 1, 0, -1):
-            keep[self.parent[i]] += max(keep[i], drop[i])
-            drop[self.parent[i]] += drop[i]
-        kept = [bool(keep[0] >= drop[0])]
-        for i in range(1, len(odds)):
-            kept.append(bool(kept[self.parent[i]] and keep[i] >= drop[i]))
+        """Runs that stay when the labels of all nodes are chosen for most likelihood, under the rules that what lies in a
+        rejected node is rejected, and that a kept element holds a kept run."""
+        keep_p, drop_p = (-np.logaddexp(0, -odds)).tolist(), (-np.logaddexp(0, odds)).tolist()
+        n = len(odds)
+        drop, best = list(drop_p), [0.0] * n  # best: of the children, each by itself
+        gain, heir = [-np.inf] * n, [-1] * n  # of keeping the child that gains most, or loses least
+        keep = [0.0] * n
+        for i in range(n - 1, -1, -1):  # children come after their parents
+            keep[i] = keep_p[i] if self.kind[i] == TEXT else keep_p[i] + best[i] + min(gain[i], 0.0)
+            if i:
+                p, more = self.parent[i], keep[i] - drop[i]
+                best[p] += max(keep[i], drop[i])
+                drop[p] += drop[i]
+                if more >= gain[p]:
+                    gain[p], heir[p] = more, i
+        kept = [keep[0] >= drop[0] and keep[0] > -np.inf]
+        for i in range(1, n):
+            p = self.parent[i]
+            kept.append(kept[p] and (keep[i] >= drop[i] or heir[p] == i and gain[p] < 0))
         return "\n".join(t for t, k in zip(self.text, kept, strict=True) if k and t)
 
 
@@ -350,13 +359,14 @@ def main_texts(pages: DataFrame, html_col: str = "html", keep: list[str] | None
     shared = spark.sparkContext.broadcast(trained())  # 50 small trees
     keep = list(pages.columns) if keep is None else keep
     schema = pages.select(*keep).schema.add("main_text", "string")
+    given = free(pages.columns, "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = pa.array(shared.value.extract([Page(t) for t in texts(b, "_html")]), pa.string())
+            out = pa.array(shared.value.extract([Page(t) for t in texts(b, given)]), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=schema.fieldNames())
 
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html_col).alias(given)).mapInArrow(run, schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

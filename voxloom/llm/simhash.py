@@ -7,6 +7,9 @@ fingerprints differ by at most t bits in one block.  In that block each fingerpr
 lies within the radius, any b within t of it has been replicated there: no link is lost.
 
 23-bit blocks use the perfect binary Golay code (radius 3), other bits stand for themselves (radius 0).
+
+Fingerprints of four-word shingles at 4 bits are what :func:`near_duplicates` takes; :func:`keep_one` takes five-word
+shingles at 7 bits, which texts with a similarity of 0.9 or more mostly keep to.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ SEED = 42
 NARROW = ((0, 23, 0, 1), (23, 23, 0, 1), (46, 0, 18, 0))
 #: Two halves, 21-bit anchors: more replicas and far smaller buckets, for large corpora.
 WIDE = ((0, 23, 9, 2), (32, 23, 9, 1))
+#: Shingle and distance of the documents that keep_one takes for copies, and the layouts of each distance.
+KEEP_SHINGLE, KEEP_DISTANCE = 5, 7
+LAYOUTS = {4: (NARROW, WIDE), 7: (((0, 23, 0, 2), (23, 23, 0, 2), (46, 0, 18, 1)), ((0, 23, 9, 3), (32, 23, 9, 3)))}
 WIDE_FROM = 50_000_000
 #: Rows of one comparison; larger buckets are split into pairs of chunks.
 CHUNK = 16_384
@@ -37,10 +43,10 @@ GOLAY = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 RADIUS = 3
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit fingerprint; 0 without words."""
     words = (text or "").encode().lower().split()
-    n = len(words) - SHINGLE + 1
+    n = len(words) - shingle + 1
     if not words:
         return 0
     joined = b" ".join(words)
@@ -50,7 +56,7 @@ def fingerprint(text: str | None) -> int:
     else:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = [0, *(ends[: n - 1] + 1).tolist()]
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
+        hashes = [h(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         part = np.array(hashes[k : k + (1 << 15)], dtype="<u8")
@@ -80,9 +86,9 @@ def _golay() -> tuple[np.ndarray, list[np.ndarray]]:
         return x
 
     base = np.array([remainder(1 << k) for k in range(23)], dtype=np.int64)
-    # all words up to weight RADIUS + 2, by weight
+    # all words up to weight RADIUS + 3, by weight
     words, layer = [], np.zeros(1, np.int64)
-    for _ in range(RADIUS + 3):
+    for _ in range(RADIUS + 4):
         words.append(layer)
         bits = (np.int64(1) << np.arange(23))[None, :]
         grown = layer[:, None] | bits
@@ -114,7 +120,8 @@ def anchors(fp: np.ndarray, block: tuple[int, int, int, int]) -> tuple[np.ndarra
     part = (fp >> np.uint64(first)).astype(np.int64) & ((1 << coded + plain) - 1)
     rows = np.arange(len(fp))
     if not coded:
-        return rows, part, np.ones(len(fp), bool)
+        flips = np.array(_flips(plain, allow), np.int64)
+        return np.repeat(rows, len(flips)), (part[:, None] ^ flips[None, :]).ravel(), np.tile(flips == 0, len(fp))
     low, high = part & ((1 << 23) - 1), part >> 23
     start, words, weight = _cosets(RADIUS + allow)
     s = syndrome(low)
@@ -203,9 +210,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, layout: tuple | None = None,
     fps: ``(fp, rep)``, one row a fingerprint.  Buckets over ``chunk`` rows are dealt out as pairs of chunks, so that no
     task holds more than two of them.
     """
-    if distance != DISTANCE:
-        raise ValueError("the layouts cover a distance of 4")
-    layout = layout or (WIDE if fps.count() >= WIDE_FROM else NARROW)
+    layout = layout or LAYOUTS[distance][fps.count() >= WIDE_FROM]
+    if sum(allow + 1 for *_, allow in layout) <= distance:
+        raise ValueError("the layout doesn't cover the distance")
     rows = _replicate(fps, layout)
     hot = rows.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("n"))
     hot = stage(hot, "hot-anchors")
@@ -247,23 +254,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The documents without those near-duplicates whose component has a smaller id; one row stays of repeated ids with
     equal fingerprints, or with fingerprints of one component.  Other texts under a repeated id are judged by themselves.
 
-    Rows with a null id stay.
+    Copies are texts whose fingerprints of ``KEEP_SHINGLE``-word shingles differ in at most ``KEEP_DISTANCE`` bits: a
+    similarity of 0.9 gives 7 on average, one of 0.8 gives 10.  Rows with a null id stay; long texts are taken whole; no
+    rows: no rows; other columns stay as they are.
     """
     bounded_batches(docs.sparkSession)
-    names = [*docs.columns, "_id", "_fp"]
-    schema = docs.withColumn("_id", F.col(id_col).cast("long")).schema.add("_fp", "long")
+    # docs' columns travel within a struct: whatever their names, they don't meet those made here
+    bare = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    schema = bare.select("row", "_id").schema.add("_fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in texts(b, "_text")], dtype="<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=names)
+            fp = np.array([fingerprint(t, KEEP_SHINGLE) for t in texts(b, "_text")], dtype="<u8").view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=["row", "_id", "_fp"])
 
-    rows = stage(docs.select("*", F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema), "with-fingerprints")
+    rows = stage(bare.mapInArrow(run, schema), "with-fingerprints")
     classes = stage(rows.where("_id is not null").groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("id")), "classes")
-    comp = components(links(classes.select("fp", F.col("fp").alias("rep"))), "a", "b")
+    comp = components(links(classes.select("fp", F.col("fp").alias("rep")), KEEP_DISTANCE), "a", "b")
     first = classes.join(comp, classes.fp == comp.node, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min(F.struct("id", "fp")).alias("m"))
     first = stage(first.select(F.col("m.id").alias("_first"), F.col("m.fp").alias("_of")), "first-rows")
     kept = rows.where("_id is not null").join(first, (F.col("_id") == F.col("_first")) & (F.col("_fp") == F.col("_of")), "left_semi")
     if not kept.groupBy("_id", "_fp").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_id", "_fp"])
-    return rows.where("_id is null").unionByName(kept).select(*docs.columns)
+    return rows.where("_id is null").unionByName(kept).select("row.*")

@@ -92,7 +92,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> DataFrame:
     """Write a response record per row into archives under folder; returns their names, ``(file)``.
 
-    Null html counts as empty; null ids and URLs leave out their header.
+    Null html counts as empty; null ids and URLs leave out their header.  Payloads are written whole, however long; each
+    row of repeated ones gets a record of its own; no rows: no archives.
     """
     date = date or now()
     bounded_batches(pages.sparkSession)
@@ -141,7 +142,10 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def revisits(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``(file, nth, o_*)`` of the records that repeat a payload: the original is the response with the largest page_id."""
+    """``(file, nth, o_*)`` of the records that repeat a payload: the original is the response with the largest page_id.
+
+    Records of that page_id all stay responses, those without a page_id too.
+    """
     whole = headers.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
     which = F.struct("page_id", "url", "date", "record_id")
     firsts = whole.groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).agg(F.max(which).alias("o"), F.count("*").alias("n")).where("n > 1")

@@ -169,6 +169,26 @@ def test_merge_is_max_in_any_order(spark):
         merge.downsampled(a, 3)
 
 
+@pytest.mark.parametrize("shift", [(0.0, 0.0), (3.25, -2.5), (-1.125, 0.75)])
+def test_shifts_of_parts_of_a_pixel(shift):
+    """A band-limited image moved by its phases."""
+    rng = np.random.default_rng(7)
+    f = np.fft.fft2(rng.normal(size=(48, 40)))
+    fy, fx = np.fft.fftfreq(48)[:, None], np.fft.fftfreq(40)[None, :]
+    f = np.where((np.abs(fy) < 0.3) & (np.abs(fx) < 0.3), f, 0)
+    moved = np.real(np.fft.ifft2(f * np.exp(2j * np.pi * (fy * shift[0] + fx * shift[1]))))
+    dy, dx, _ = register.phase_correlation(np.real(np.fft.ifft2(f)), moved, 8)
+    assert (dy, dx) == shift
+    whole = register.phase_correlation(np.real(np.fft.ifft2(f)), moved)
+    assert abs(whole[0] - shift[0]) <= 0.5 and abs(whole[1] - shift[1]) <= 0.5
+
+
+def test_tiles_by_number_and_by_place(spark):
+    t = spark.createDataFrame([(r, c, f"{r}{c}") for r in range(3) for c in range(2) if (r, c) != (1, 0)], "row int, col int, path string")
+    assert [[r.path for r in grid.nth(t, n).collect()] for n in (0, 2, 4, 5, -1, -5, -6)] == [["00"], ["11"], ["21"], [], ["21"], ["00"], []]
+    assert [r.path for r in grid.at(t, 2, 1).collect()] == ["21"] and grid.at(t, 1, 0).count() == 0
+
+
 def test_clahe_pixel_by_pixel(spark):
     """Each pixel by itself: its rank in the clipped histograms of the four nearest cells, blended by distance."""
     rng = np.random.default_rng(4)

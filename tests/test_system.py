@@ -49,6 +49,37 @@ def test_stitching_finds_the_offsets(tiled, spark, tmp_path):
         o.with_margin(50)
 
 
+def test_live_stitching_ends_where_the_batch_does(tiled, spark, tmp_path):
+    """Tiles that complete in three batches, one of them run twice, against the batch pipeline over all tiles."""
+    voxels, tiles, _, size = tiled
+    o = pipelines.StitchOptions(size, 25, 25).with_margin(30)
+    whole = pipelines.stitch(pipelines.projections(voxels, tiles, o), tiles, o)
+    load = lambda some: voxels.join(some.select("channel", "row", "col"), ["row", "col"])
+    source, checkpoint = tmp_path / "frames", str(tmp_path / "checkpoint")
+    for numbers in ([1, 2], [3, 4, 5], [6]):
+        spark.createDataFrame([(t, 0, n) for t in numbers for n in range(3)], "tile long, channel int, n int").coalesce(1).write.mode("append").parquet(str(source))
+        again = pipelines.LiveStitch(str(tmp_path / "live"), o, 3, 3, 6, load)  # as after a restart
+        again.start(live.frame_stream(spark, str(source), "tile long, channel int, n int"), checkpoint)
+    key = lambda df: sorted(tuple(r) for r in df.select("row", "col", "ABS_H", "ABS_V", "ABS_D").collect())
+    assert key(again.stitched(spark).registration) == key(whole.registration)
+    assert again.particles(spark).select("row", "col").distinct().count() == 6
+    assert again.particles(spark).agg(F.sum(F.pow(F.lit(8.0), 6 - F.col("level")))).first()[0] == voxels.count()
+
+
+def test_live_stitching_decodes_files(tiled, spark, tmp_path):
+    voxels, tiles, _, size = tiled
+    for t in (1, 2):
+        volume = np.zeros((8, size, size), np.uint16)
+        for r in voxels.where(f"row = 0 and col = {t - 1}").collect():
+            volume[r.z, r.y, r.x] = r.v
+        (tmp_path / f"t{t}_c0.tif").write_bytes(images.encode_tiff(volume))
+    spark.createDataFrame([(t, 0, n) for t in (1, 2) for n in range(3)], "tile long, channel int, n int").write.parquet(str(tmp_path / "frames"))
+    o = pipelines.StitchOptions(size, 25, 25).with_margin(30)
+    it = pipelines.LiveStitch(str(tmp_path / "live"), o, 3, 3, 6, pattern=f"file:{tmp_path}/t{{tile}}_c{{channel}}.tif")
+    it.start(live.frame_stream(spark, str(tmp_path / "frames"), "tile long, channel int, n int"), str(tmp_path / "checkpoint"))
+    assert it.stitched(spark).registration.count() == 2
+
+
 def test_channels(tiled, spark, tmp_path):
     voxels, tiles, _, size = tiled
     two = lambda df: df.withColumn("channel", F.lit(0)).unionByName(df.withColumn("channel", F.lit(1)))
@@ -56,6 +87,7 @@ def test_channels(tiled, spark, tmp_path):
     assert acq.stitch(0, middle=4).count() == 6
     acq.registrations[0] = graph.expected_registration(tiles, 30, 30)
     assert acq.align(0, 1).exceptAll(acq.registrations[0]).isEmpty()
+    assert acq.align(0, 1, {"z": (2, 6), "x": (5, None)}).exceptAll(acq.registrations[0]).isEmpty()
     assert acq.reconstruct(4).select("channel").distinct().count() == 2
     todo = acq.convert(str(tmp_path / "parts"), 6, existing=two(tiles).where("channel = 0"))
     assert todo.count() == 6

@@ -34,6 +34,19 @@ def unique_tiles(tiles: DataFrame, by: list[str] | None = None) -> DataFrame:
     return tiles.groupBy(*key).agg(F.min(F.struct("path", *[c for c in rest if c != "path"])).alias("_t")).select(*[F.col(c) if c in key else F.col(f"_t.{c}") for c in tiles.columns])
 
 
+def nth(tiles: DataFrame, n: int) -> DataFrame:
+    """The n-th tile (from 0; from the end if negative) by row and column; no row beyond the last."""
+    by = [F.col(c).asc() if n >= 0 else F.col(c).desc() for c in ("row", "col")]
+    first = tiles.orderBy(*by).limit(n + 1 if n >= 0 else -n)
+    back = [F.col(c).desc() if n >= 0 else F.col(c).asc() for c in ("row", "col")]
+    return first.withColumn("_n", F.count("*").over(Window.partitionBy())).where(F.col("_n") == (n + 1 if n >= 0 else -n)).drop("_n").orderBy(*back).limit(1)
+
+
+def at(tiles: DataFrame, row: int, col: int) -> DataFrame:
+    """The tile in a cell; no row where there is none."""
+    return tiles.where((F.col("row") == row) & (F.col("col") == col))
+
+
 def shape(tiles: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``nrow, ncol`` of each grid."""
     return tiles.groupBy(*(by or [])).agg((F.max("row") + 1).cast("int").alias("nrow"), (F.max("col") + 1).cast("int").alias("ncol"))

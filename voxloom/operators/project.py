@@ -37,11 +37,9 @@ def side_projections(voxels: DataFrame, near: DataFrame, size: int, overlap_h: i
     for side in ("east", "west", "south", "north"):
         limits = side_box(side, size, overlap_h if side in ("east", "west") else overlap_v)
         (axis, (begin, _)), = limits.items()
-        part = voxels.where(box(**limits)).withColumn(axis, F.col(axis) - (begin or 0)).withColumn("side", F.lit(side))
-        strips.append(part)
-    rows = strips[0]
-    for s in strips[1:]:
-        rows = rows.unionByName(s)
+        at = [(F.col(c) - begin if c == axis and begin else F.col(c)).cast("int").alias(f"_{c}") for c in "zyx"]
+        strips.append(F.when(box(**limits), F.struct(F.lit(side).alias("side"), *at)))
+    rows = voxels.select("row", "col", "v", F.inline(F.array_compact(F.array(*strips)))).withColumnsRenamed({f"_{c}": c for c in "zyx"})  # one scan for all sides
     rows = rows.join(near.select("row", "col", "side"), ["row", "col", "side"], "left_semi")
     out = all_projections(rows, ["row", "col", "side"])
     if z_range:

@@ -13,16 +13,28 @@ EXPECTED_ERROR = 2.0  # of an edge whose shift was replaced
 LEAST_ERROR = 1e-6
 
 
-def phase_correlation(reference: np.ndarray, moving: np.ndarray) -> tuple[int, int, float]:
-    """Whole shift (rows, columns) that moves ``moving`` onto ``reference``, and sqrt(|1 - peak ** 2|)."""
+def phase_correlation(reference: np.ndarray, moving: np.ndarray, upsample_factor: int = 1) -> tuple[float, float, float]:
+    """Shift (rows, columns) that moves ``moving`` onto ``reference``, and sqrt(|1 - peak ** 2|).
+
+    Whole pixels; with an upsample_factor u, the correlation is also evaluated at steps of 1 / u around the whole shift.
+    """
     if reference.shape != moving.shape:
         raise ValueError("images differ in shape")
     cross = np.fft.fft2(reference) * np.conj(np.fft.fft2(moving))
     size = np.abs(cross)
-    peak = np.fft.ifft2(np.where(size > 1e-12 * max(size.max(), 1e-300), cross / np.maximum(size, 1e-300), 0))
-    at = np.unravel_index(np.abs(peak).argmax(), peak.shape)
-    dy, dx = (int(k) - (n if k > n // 2 else 0) for k, n in zip(at, peak.shape, strict=True))
-    return dy, dx, float(np.sqrt(abs(1 - np.abs(peak[at]) ** 2)))
+    phase = np.where(size > 1e-12 * max(size.max(), 1e-300), cross / np.maximum(size, 1e-300), 0)
+    peak = np.abs(np.fft.ifft2(phase))
+    at = np.unravel_index(peak.argmax(), peak.shape)
+    top = float(peak[at])
+    shift = [int(k) - (n if k > n // 2 else 0) for k, n in zip(at, peak.shape, strict=True)]
+    if upsample_factor > 1:
+        near = np.arange(-upsample_factor, upsample_factor + 1) / upsample_factor
+        waves = [np.exp(2j * np.pi * np.outer(s + near, np.fft.fftfreq(n))) for s, n in zip(shift, peak.shape, strict=True)]
+        fine = np.abs(waves[0] @ phase @ waves[1].T) / phase.size
+        at = np.unravel_index(fine.argmax(), fine.shape)
+        top = float(fine[at])
+        shift = [s + float(near[k]) for s, k in zip(shift, at, strict=True)]
+    return shift[0], shift[1], float(np.sqrt(abs(1 - top**2)))
 
 
 def reliability(reference: np.ndarray, moving: np.ndarray, shift: tuple[int, int], legacy_sign: bool = False) -> float:
@@ -60,6 +72,16 @@ def default_kernel(reference: np.ndarray, moving: np.ndarray) -> tuple[int, int,
     return dy, dx, reliability(reference, moving, (dy, dx)) / np.sqrt(max(reference.mean(), 1e-12)) * 10
 
 
+def fine_kernel(upsample_factor: int) -> Callable:
+    """The default kernel with shifts of parts of a pixel; the error is that of the nearest whole shift."""
+
+    def kernel(reference: np.ndarray, moving: np.ndarray) -> tuple[float, float, float]:
+        dy, dx, _ = phase_correlation(reference, moving, upsample_factor)
+        return dy, dx, reliability(reference, moving, (round(dy), round(dx))) / np.sqrt(max(reference.mean(), 1e-12)) * 10
+
+    return kernel
+
+
 def masked_kernel(percentile: float, kernel: Callable = default_kernel) -> Callable:
     """A kernel that sees both images with pixels above their percentile set to the median of the rest."""
     def masked(a: np.ndarray) -> np.ndarray:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import with_scalars
 from ..operators import atlas, cells, graph, grid, merge, morphology, octree, project, register, segment
 from ..sources import acquisition, sinks
+from ..streaming import live
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,11 @@ class StitchOptions:
         return int(h * (1 + self.margin / 100)), int(v * (1 + self.margin / 100))
 
 
+    @property
+    def used_kernel(self) -> Callable:
+        return register.masked_kernel(self.mask_percentile, self.kernel) if self.mask_percentile else self.kernel
+
+
 @dataclass
 class Stitched:
     edges: DataFrame
@@ -57,11 +64,13 @@ def projections(voxels: DataFrame, tiles: DataFrame, o: StitchOptions) -> DataFr
 
 def stitch(projected: DataFrame, tiles: DataFrame, o: StitchOptions) -> Stitched:
     """Shifts of neighbouring tiles from their projections (fresh or saved), regularised, and positions along the trees."""
-    h, v = o.searched
-    kernel = register.masked_kernel(o.mask_percentile, o.kernel) if o.mask_percentile else o.kernel
-    ncol = grid.shape(tiles).first().ncol
     pairs = grid.edges(tiles)
-    shifts = register.strip_offsets(register.pair_shifts(register.plane_shifts(projected, pairs, kernel)), o.frame, h, v)
+    return placed(register.pair_shifts(register.plane_shifts(projected, pairs, o.used_kernel)), tiles, o, grid.shape(tiles).first().ncol)
+
+
+def placed(pairs: DataFrame, tiles: DataFrame, o: StitchOptions, ncol: int) -> Stitched:
+    """Positions from the shifts of strips."""
+    shifts = register.strip_offsets(pairs, o.frame, *o.searched)
     eh, ev = o.expected
     want = {"east": (o.frame - eh, 0.0), "south": (0.0, o.frame - ev)}
     bound = 0.05 * o.frame
@@ -71,6 +80,66 @@ def stitch(projected: DataFrame, tiles: DataFrame, o: StitchOptions) -> Stitched
     return Stitched(edges, tree, table)
 
 
+class LiveStitch:
+    """Tiles of an acquisition that are converted, projected and registered as they complete; positions at any time.
+
+    Everything is a table in folder, a batch a partition: a batch run again replaces what it has written, and a restart
+    goes on from the tiles done.  load gives the voxels ``(channel, row, col, z, y, x, v)`` of tiles ``(tile, channel, row,
+    col)``; without it, files named by pattern (with ``{tile}`` and ``{channel}``) are decoded.
+    """
+
+    def __init__(self, folder: str, options: StitchOptions, ncol: int, n_planes: int, l_max: int, load: Callable[[DataFrame], DataFrame] | None = None, pattern: str = "", ftype: str = "tiff", channel: int = 0, rel_error: float = 0.2, ip_th: float = 108.0):
+        self.folder, self.options, self.ncol, self.l_max, self.channel, self.rel_error, self.ip_th = folder, options, ncol, l_max, channel, rel_error, ip_th
+        self.load = load or (lambda tiles: self._decoded(tiles, pattern, ftype))
+        self.live = live.LivePipeline(f"{folder}/done", ncol, n_planes, self._convert, self._register)
+
+    def _decoded(self, tiles: DataFrame, pattern: str, ftype: str) -> DataFrame:
+        named = F.replace(F.replace(F.lit(pattern), F.lit("{tile}"), F.col("tile").cast("string")), F.lit("{channel}"), F.col("channel").cast("string"))
+        at = tiles.withColumn("path", named)
+        channels = [r[0] for r in at.select("channel").distinct().collect()]  # a few
+        parts = [acquisition.scan_voxels(at.where(F.col("channel") == c), ftype, self.options.frame).withColumn("channel", F.lit(c)) for c in channels]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _save(self, df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={self.live.batch}")
+
+    def _read(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}").drop("batch")
+
+    def _convert(self, tiles: DataFrame) -> None:
+        if tiles.isEmpty():
+            return
+        by = ["channel", "row", "col"]
+        voxels = self.load(tiles)
+        self._save(octree.encode(voxels, self.l_max, self.rel_error, self.ip_th, by=by).select(*by, "level", *octree.CELL, "v"), "particles")
+        mine = voxels.where(F.col("channel") == self.channel)
+        sides = F.explode(F.array(*[F.lit(x) for x in ("east", "south", "west", "north")]))
+        near = tiles.where(F.col("channel") == self.channel).select("row", "col", sides.alias("side"))
+        self._save(project.side_projections(mine, near, self.options.frame, *self.options.searched, self.options.z_range), "projections")
+
+    def _register(self, edges: DataFrame) -> None:
+        """edges: a new tile and a neighbour that is there, seen from the new one."""
+        flip = F.col("side").isin("west", "north")
+        turned = F.when(F.col("side") == "west", "east").when(F.col("side") == "north", "south").otherwise(F.col("side"))
+        ends = [F.when(flip, F.col(f"n_{c}")).otherwise(F.col(c)).cast("int").alias(c) for c in ("row", "col")] + [F.when(flip, F.col(c)).otherwise(F.col(f"n_{c}")).cast("int").alias(f"n_{c}") for c in ("row", "col")]
+        some = edges.where(F.col("channel") == self.channel).select(*ends, turned.alias("side")).distinct()
+        number = lambda r, c: (F.col(r) * self.ncol + F.col(c)).cast("int")
+        some = some.withColumns({"a": number("row", "col"), "b": number("n_row", "n_col")})
+        if not some.isEmpty():
+            self._save(register.plane_shifts(self._read(some.sparkSession, "projections"), some, self.options.used_kernel), "shifts")
+
+    def start(self, frames: DataFrame, checkpoint: str):
+        return self.live.start(frames, checkpoint)
+
+    def stitched(self, spark: SparkSession) -> Stitched:
+        """Positions from all that has been registered so far."""
+        tiles = self.live.done(spark).where(F.col("channel") == self.channel).withColumn("path", F.col("tile").cast("string"))
+        return placed(register.pair_shifts(self._read(spark, "shifts")), tiles, self.options, self.ncol)
+
+    def particles(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark, "particles")
+
+
 @dataclass
 class MultiChannel:
     """An acquisition of several channels: tiles ``(channel, row, col, path)`` and voxels with a channel column."""
@@ -106,9 +175,12 @@ class MultiChannel:
         self.registrations[c] = stitch(projections(voxels, tiles, o), tiles, o).registration
         return self.registrations[c]
 
-    def align(self, reference: int, moving: int) -> DataFrame:
-        """Positions of another channel: those of the reference with each tile's own shift added."""
-        whole = lambda c: project.all_projections(self.channel(c)[1], ["row", "col"])
+    def align(self, reference: int, moving: int, limits: dict[str, tuple[int | None, int | None]] | None = None) -> DataFrame:
+        """Positions of another channel: those of the reference with each tile's own shift added.
+
+        limits: begin and end of axes, within which the channels are compared.
+        """
+        whole = lambda c: project.all_projections(self.channel(c)[1], ["row", "col"], limits)
         shifts = register.channel_shifts(whole(reference), whole(moving), self.options.kernel)
         self.registrations[moving] = register.update_registration(self.registrations[reference], shifts)
         return self.registrations[moving]

@@ -46,6 +46,7 @@ class LivePipeline:
 
     def __init__(self, done_path: str, ncol: int, n_planes: int, convert: Callable[[DataFrame], None] | None = None, register: Callable[[DataFrame], None] | None = None):
         self.done_path, self.ncol, self.n_planes, self.convert, self.register = done_path, ncol, n_planes, convert, register
+        self.batch = -1  # the one that the steps work on
 
     def done(self, spark: SparkSession) -> DataFrame:
         try:
@@ -63,6 +64,7 @@ class LivePipeline:
             return
         fresh = batch.select(F.col("tile").cast("long").alias("tile"), F.col("channel").cast("int").alias("channel")).join(before, ["tile", "channel"], "left_anti")
         fresh = grid.place_snake(fresh, "tile", self.ncol).withColumn("batch", F.lit(number).cast("long"))
+        self.batch = number
         if self.convert:
             self.convert(fresh)
         if self.register:

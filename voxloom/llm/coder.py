@@ -1,234 +1,25 @@
-"""Adaptive context-mixing range coder for sequences of ids, many blocks at a time.
+"""The adaptive context-mixing range coder of id sequences (``java/TokenCoder.java``) as SQL functions.
 
-Each block starts from an empty model.  Contexts of one and two ids predict the id that followed them last; how far
-each of the two is trusted is learned for each confidence.  Their shares and what is left for the order-0 model, a tree
-of adaptive counts, divide the coder's interval: an id is coded by the highest order that predicts it, else by its
-order-0 count.
-
-Blocks don't depend on one another, so a step codes the next id of all blocks with array operations.  The coder is
-carry-less with a 48-bit interval and puts out 16-bit words.
+A sequence is ids as little-endian unsigned 32-bit integers.  Its blocks are coded apart: each starts from an empty model
+and has a checksum.  An adaptive model is followed id by id, which is no work for array operations, so this runs in the
+executors' JVM.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
-BITS, WORD = 48, 16
-TOP, LEAST = np.uint64(1) << np.uint64(32), np.uint64(1) << np.uint64(30)
-MASK = (np.uint64(1) << np.uint64(48)) - np.uint64(1)
-SHIFT, HIGH = np.uint64(16), np.uint64(32)
-SCALE = 1 << 15
-TRUST = 16  # confidences
-GAIN = 24  # of an order-0 count
-SLOTS = 1 << 12  # of the order-2 table of a block
-LANE_BYTES = 160 << 20
-
-
-class _Model:
-    """Contexts and counts of ``lanes`` blocks over ids 0 .. alphabet - 1."""
-
-    def __init__(self, lanes: int, alphabet: int):
-        self.size = alphabet
-        self.lane = np.arange(lanes)
-        self.depth = 1
-        while 16**self.depth < alphabet:
-            self.depth += 1
-        self.levels, self.width = [], []
-        for level in range(self.depth):
-            below = 16 ** (self.depth - 1 - level)
-            nodes = -(-alphabet // below)
-            width = -(-nodes // 16) * 16
-            one = np.zeros(width, np.int32)
-            one[:nodes] = np.minimum(below, alphabet - np.arange(nodes) * below)
-            self.levels.append(np.tile(one, lanes))
-            self.width.append(width)
-        self.total = np.full(lanes, alphabet, np.int64)
-        self.next1, self.sure1 = np.zeros(lanes * alphabet, np.uint16), np.zeros(lanes * alphabet, np.uint8)
-        self.next2, self.sure2 = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint8)
-        start = np.minimum(SCALE // 4 + np.arange(TRUST) * (SCALE // 24), SCALE - 1024).astype(np.int32)
-        start[0] = 0
-        self.trust1, self.trust2 = np.tile(start, lanes), np.tile(start, lanes)
-        self.last = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
-        self.sixteen = np.arange(16)
-
-    def predict(self, n: int):
-        """Predictions and interval shares of orders 2 and 1 for the first n blocks."""
-        lane, p1, p2 = self.lane[:n], self.last[:n], self.last2[:n]
-        at1 = lane * self.size + p1
-        at2 = lane * SLOTS + ((p1 * 0x9E37 + p2 * 0x85EB + (p2 >> 3)) & (SLOTS - 1))
-        c1, c2, s1, s2 = self.next1[at1], self.next2[at2], self.sure1[at1], self.sure2[at2]
-        t1, t2 = lane * TRUST + s1, lane * TRUST + s2
-        a2 = self.trust2[t2]
-        a1 = (SCALE - a2) * self.trust1[t1] >> 15
-        a1 = np.where((c1 == c2) & (a2 > 0), 0, a1)
-        return (at1, at2, c1, c2, s1, s2, t1, t2), a2, a1
-
-    def learn(self, n: int, found, ids: np.ndarray) -> None:
-        at1, at2, c1, c2, s1, s2, t1, t2 = found
-        for table, sure, trust, at, c, s, t in ((self.next1, self.sure1, self.trust1, at1, c1, s1, t1), (self.next2, self.sure2, self.trust2, at2, c2, s2, t2)):
-            hit = c == ids
-            old = trust[t]
-            new = old + np.where(hit, (SCALE - 1024 - old) >> 5, -(old >> 5))
-            trust[t] = np.where(s > 0, np.maximum(new, 32), 0)
-            sure[at] = np.where(hit & (s > 0), np.minimum(s + 1, TRUST - 1), np.maximum(s >> 1, 1))
-            table[at] = np.where(hit | (s > 3), c, ids)
-        self.last2[:n] = self.last[:n]
-        self.last[:n] = ids
-
-    def count(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts before the ids and of them; then the ids' counts grow."""
-        before = np.zeros(len(ids), np.int64)
-        for level in range(self.depth):
-            node = ids >> 4 * (self.depth - 1 - level)
-            at = lanes * self.width[level] + (node & ~15)
-            counts = self.levels[level][at[:, None] + self.sixteen]
-            before += (counts * (self.sixteen < (node & 15)[:, None])).sum(1)
-            own = at + (node & 15)
-            of = self.levels[level][own]
-            self.levels[level][own] = of + GAIN
-        self.total[lanes] += GAIN
-        return before, of.astype(np.int64)
-
-    def find(self, lanes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose counts hold the targets, counts before and of them; then they grow."""
-        node, before = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
-        rows = np.arange(len(lanes))
-        for level in range(self.depth):
-            at = lanes * self.width[level] + node * 16
-            counts = self.levels[level][at[:, None] + self.sixteen]
-            sums = counts.cumsum(1, dtype=np.int64)
-            k = np.minimum((sums <= (target - before)[:, None]).sum(1), 15)
-            of = counts[rows, k]
-            before += sums[rows, k] - of
-            node = node * 16 + k
-            self.levels[level][at + k] = of + GAIN
-        self.total[lanes] += GAIN
-        return node, before, of.astype(np.int64)
-
-
-def lanes_for(alphabet: int) -> int:
-    """Blocks at a time, by the memory that their models take."""
-    return max(16, min(1024, LANE_BYTES // (alphabet * 8 + SLOTS * 3 + 2048)))
-
-
-def encode(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
-    """Blocks of ids 0 .. alphabet - 1, not empty, as words of 16 bits."""
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    out: list[bytes] = [b""] * len(blocks)
-    step = lanes_for(alphabet)
-    for k in range(0, len(order), step):
-        some = order[k : k + step]
-        for j, data in zip(some, _encode([blocks[j] for j in some], alphabet), strict=True):
-            out[j] = data
-    return out
-
-
-def _encode(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
-    lanes, longest = len(blocks), len(blocks[0])
-    ids = np.zeros((longest, lanes), np.int64)
-    for j, b in enumerate(blocks):
-        ids[: len(b), j] = b
-    live = (np.array([len(b) for b in blocks])[None, :] > np.arange(longest)[:, None]).sum(1).tolist()
-    model = _Model(lanes, alphabet)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, MASK)
-    words, used = np.zeros((lanes, 2 * longest + 64), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(at: np.ndarray | slice, before: np.ndarray, of: np.ndarray, total) -> None:
-        r = span[at] // np.uint64(total) if np.isscalar(total) else span[at] // total.astype(np.uint64)
-        l, s = low[at] + r * before.astype(np.uint64), r * of.astype(np.uint64)
-        who = np.flatnonzero(_ready(l, s))
-        lane = np.arange(len(low))[at]
-        while len(who):
-            lw, sw = l[who], s[who]
-            sw = np.where((lw ^ lw + sw) >= TOP, (~lw + np.uint64(1)) & (LEAST - np.uint64(1)), sw)
-            w = lane[who]
-            words[w, used[w]] = (lw >> HIGH).astype(np.uint16)
-            used[w] += 1
-            l[who], s[who] = (lw << SHIFT) & MASK, sw << SHIFT
-            who = who[_ready(l[who], s[who])]
-        low[at], span[at] = l, s
-
-    for t, n in enumerate(live):
-        x = ids[t, :n]
-        found, a2, a1 = model.predict(n)
-        by2 = (found[3] == x) & (a2 > 0)
-        by1 = ~by2 & (found[2] == x) & (a1 > 0)
-        both = a2 + a1
-        put(slice(n), np.where(by2, 0, np.where(by1, a2, both)), np.where(by2, a2, np.where(by1, a1, SCALE - both)), SCALE)
-        rest = np.flatnonzero(~(by2 | by1))
-        if len(rest):
-            total = model.total[rest]
-            before, of = model.count(rest, x[rest])
-            put(rest, before, of, total)
-            if int(used.max()) + 8 > words.shape[1]:
-                words = np.concatenate([words, np.zeros_like(words)], 1)
-        model.learn(n, found, x)
-    for _ in range(3):
-        words[model.lane, used] = (low >> HIGH).astype(np.uint16)
-        used += 1
-        low = (low << SHIFT) & MASK
-    return [w[:n].astype("<u2").tobytes() for w, n in zip(words, used, strict=True)]
-
-
-def _ready(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    return ((low ^ (low + span)) < TOP) | (span < LEAST)
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
+from . import jvm
 
-def decode(data: list[bytes], sizes: list[int], alphabet: int) -> list[np.ndarray]:
-    """The blocks of ids, given their numbers of ids."""
-    order = sorted(range(len(data)), key=lambda k: -sizes[k])
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(data)
-    step = lanes_for(alphabet)
-    for k in range(0, len(order), step):
-        some = order[k : k + step]
-        for j, ids in zip(some, _decode([data[j] for j in some], [sizes[j] for j in some], alphabet), strict=True):
-            out[j] = ids
-    return out
+BLOCK = 8_192
 
 
-def _decode(data: list[bytes], sizes: list[int], alphabet: int) -> list[np.ndarray]:
-    lanes, longest = len(data), sizes[0]
-    words = np.zeros((lanes, max(map(len, data)) // 2 + 4), np.uint64)
-    for j, d in enumerate(data):
-        words[j, : len(d) // 2] = np.frombuffer(d, "<u2")
-    live = (np.array(sizes)[None, :] > np.arange(longest)[:, None]).sum(1).tolist()
-    model = _Model(lanes, alphabet)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, MASK)
-    code = words[:, 0] << np.uint64(32) | words[:, 1] << np.uint64(16) | words[:, 2]
-    used = np.full(lanes, 3)
-    last = words.shape[1] - 1
-    ids = np.zeros((longest, lanes), np.int64)
+def encode(spark: SparkSession, ids: Column, block: int = BLOCK) -> Column:
+    """The coded sequence (binary); null for null."""
+    return F.call_function(jvm.register(spark, "voxloom_tokens_encode", "TokenCoder", "Encode", "binary"), ids, F.lit(block))
 
-    def take(at, r: np.ndarray, before: np.ndarray, of: np.ndarray) -> None:
-        l, s, c = low[at] + r * before.astype(np.uint64), r * of.astype(np.uint64), code[at]
-        who = np.flatnonzero(_ready(l, s))
-        lane = np.arange(len(low))[at]
-        while len(who):
-            lw, sw = l[who], s[who]
-            sw = np.where((lw ^ lw + sw) >= TOP, (~lw + np.uint64(1)) & (LEAST - np.uint64(1)), sw)
-            w = lane[who]
-            c[who] = (c[who] << SHIFT) & MASK | words[w, np.minimum(used[w], last)]
-            used[w] += 1
-            l[who], s[who] = (lw << SHIFT) & MASK, sw << SHIFT
-            who = who[_ready(l[who], s[who])]
-        low[at], span[at], code[at] = l, s, c
 
-    for t, n in enumerate(live):
-        found, a2, a1 = model.predict(n)
-        both = a2 + a1
-        r = span[:n] // np.uint64(SCALE)
-        target = np.minimum(((code[:n] - low[:n]) & MASK) // r, np.uint64(SCALE - 1)).astype(np.int64)
-        by2, by1 = target < a2, (target >= a2) & (target < both)
-        x = np.where(by2, found[3], found[2]).astype(np.int64)
-        take(slice(n), r, np.where(by2, 0, np.where(by1, a2, both)), np.where(by2, a2, np.where(by1, a1, SCALE - both)))
-        rest = np.flatnonzero(~(by2 | by1))
-        if len(rest):
-            total = model.total[rest]
-            r = span[rest] // total.astype(np.uint64)
-            target = np.minimum((((code[rest] - low[rest]) & MASK) // r).astype(np.int64), total - 1)
-            x[rest], before, of = model.find(rest, target)
-            take(rest, r, before, of)
-        model.learn(n, found, x)
-        ids[t, :n] = x
-    return [ids[:n, j] for j, n in enumerate(sizes)]
+def decode(spark: SparkSession, data: Column) -> Column:
+    """The ids of a coded sequence; the query fails on damaged data."""
+    return F.call_function(jvm.register(spark, "voxloom_tokens_decode", "TokenCoder", "Decode", "binary"), data)

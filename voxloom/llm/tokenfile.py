@@ -1,9 +1,8 @@
-"""Token-id files: ids of documents in order, coded in blocks by :mod:`coder`.
+"""Token-id files: ids of documents in order, coded by :mod:`coder`.
 
-A file: ``MAGIC``; then sections, each ``<length, crc32><bytes>``: a header (counts), the documents (ids and numbers of
-tokens, deflated), the alphabet (the distinct token ids, as deflated differences), the blocks' index (words' bytes and
-crc32 of the coded bytes); then the blocks.  All numbers are little-endian.  Blocks hold ``BLOCK`` tokens each, whatever
-the documents' ends, and start with an empty model: any of them can be read by itself.
+A file: ``MAGIC``, then segments.  A segment holds whole documents, about ``SEGMENT`` tokens of them, in two sections, each
+``<length, crc32><bytes>``: the documents (their number, the number of tokens, then ids and numbers of tokens, deflated),
+and the coded sequence of all their token ids, in blocks of ``coder.BLOCK``.  All numbers are little-endian.
 """
 
 from __future__ import annotations
@@ -22,112 +21,126 @@ from . import coder, fsio
 from .common import bounded_batches, new_path, stage, table, texts
 from .tokens import default_path, encoder
 
-MAGIC = b"VXTOKEN1"
-BLOCK = 8_192
-#: Tokens after which a file is closed.
-ROLL = 8 << 20
+MAGIC = b"VXTOKEN2"
+#: Tokens after which a segment and a file are closed.
+SEGMENT, ROLL = 1 << 20, 8 << 20
 END = 2
 
 
-def _section(data: bytes) -> bytes:
+def section(data: bytes) -> bytes:
     return struct.pack("<QI", len(data), zlib.crc32(data)) + data
 
 
-def pack_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
-    """The file of (document id, token ids) in this order."""
-    tokens = np.concatenate([x for _, x in docs]) if docs else np.zeros(0, np.uint32)
-    alphabet, at = np.unique(tokens, return_inverse=True)
-    coded = coder.encode([at[k : k + BLOCK] for k in range(0, len(at), BLOCK)], max(1, len(alphabet)))
-    ids = np.array([i if i is not None else 0 for i, _ in docs], "<i8")
-    known = np.array([i is not None for i, _ in docs], "<u1")
-    sizes = np.array([len(x) for _, x in docs], "<u4")
-    index = np.array([(len(c), zlib.crc32(c)) for c in coded], "<u4").reshape(-1, 2)
-    return b"".join([
-        MAGIC, _section(struct.pack("<QQQQ", len(docs), len(tokens), len(alphabet), BLOCK)), _section(zlib.compress(ids.tobytes() + known.tobytes() + sizes.tobytes(), 1)),
-        _section(zlib.compress(np.diff(alphabet.astype("<u4"), prepend=np.uint32(0)).tobytes(), 6)), _section(index.tobytes()), *coded,
-    ])
-
-
-def unpack_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
-    """What :func:`pack_file` packed; ValueError for anything damaged."""
-    if data[: len(MAGIC)] != MAGIC:
+def sections(f) -> Iterator[bytes]:
+    """The sections of a file; ValueError for anything damaged."""
+    if f.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
-    at, sections = len(MAGIC), []
-    for _ in range(4):
-        n, crc = struct.unpack_from("<QI", data, at)
-        sections.append(data[at + 12 : at + 12 + n])
-        at += 12 + n
-        if len(sections[-1]) != n or zlib.crc32(sections[-1]) != crc:
+    while head := f.read(12):
+        n, crc = struct.unpack("<QI", head) if len(head) == 12 else (0, -1)
+        data = f.read(n)
+        if len(data) != n or zlib.crc32(data) != crc:
             raise ValueError("a damaged section")
-    n, total, letters, block = struct.unpack("<QQQQ", sections[0])
-    heads = zlib.decompress(sections[1])
+        yield data
+
+
+def pack_docs(ids: list[int | None], sizes: list[int]) -> bytes:
+    """The documents' section; sizes: their numbers of tokens."""
+    known = np.array([i is not None for i in ids], "<u1")
+    heads = np.array([i or 0 for i in ids], "<i8").tobytes() + known.tobytes() + np.array(sizes, "<u4").tobytes()
+    return struct.pack("<QQ", len(ids), sum(sizes)) + zlib.compress(heads, 1)
+
+
+def unpack_docs(data: bytes) -> tuple[list[int | None], np.ndarray]:
+    n, total = struct.unpack_from("<QQ", data)
+    heads = zlib.decompress(data[16:])
     ids, known, sizes = np.frombuffer(heads, "<i8", n), np.frombuffer(heads, "<u1", n, 8 * n), np.frombuffer(heads, "<u4", n, 9 * n)
-    alphabet = np.frombuffer(zlib.decompress(sections[2]), "<u4").cumsum(dtype=np.uint32)
-    index = np.frombuffer(sections[3], "<u4").reshape(-1, 2)
-    ends = at + index[:, 0].cumsum(dtype=np.int64)
-    coded = [data[e - s : e] for e, (s, _) in zip(ends.tolist(), index.tolist(), strict=True)]
-    for c, (s, crc) in zip(coded, index.tolist(), strict=True):
-        if len(c) != s or zlib.crc32(c) != crc:
-            raise ValueError("a damaged block")
-    blocks = coder.decode(coded, [min(block, total - k * block) for k in range(len(coded))], max(1, letters))
-    tokens = alphabet[np.concatenate(blocks)] if blocks else np.zeros(0, np.uint32)
-    return list(zip([i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], np.split(tokens, np.cumsum(sizes)[:-1]), strict=True)) if n else []
+    if sizes.sum(dtype=np.int64) != total:
+        raise ValueError("a damaged section")
+    return [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], sizes
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """Write token files in ascending id order, nulls first; returns ``(file, docs, tokens)``.
 
-    Names ascend with the ids.  Null texts count as empty: their end id only.  Repeated ids stay, next to each other.
+    Names ascend with the ids.  Null texts count as empty: their end id only.  Repeated ids stay, next to each other.  No
+    rows: no files.  A very long text makes a long segment of its own; it is held whole by one task.  Other columns,
+    whatever their names, are left aside.
     """
+    spark = docs.sparkSession
     path = path or default_path()
-    bounded_batches(docs.sparkSession)
+    bounded_batches(spark)
     tail = np.array([end], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, kept, size, k = encoder(path).encode, TaskContext.get().partitionId(), [], 0, 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, ids, kept, size = encoder(path).encode, [], [], 0
 
-        def close() -> pa.RecordBatch:
-            uri = f"{folder}/part-{part:06d}-{k:05d}.tok"
-            with fsio.output(uri) as out:
-                out.write(pack_file(kept))
-            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(kept)], pa.int64()), pa.array([size], pa.int64())], names=["file", "docs", "tokens"])
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pack_docs(ids, [len(x) // 4 for x in kept])]), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([b"".join(kept)], pa.binary())], names=["head", "docs", "tokens", "ids"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), texts(b, "text"), strict=True):
-                kept.append((i, np.frombuffer(code(t) + tail, "<u4")))
-                size += len(kept[-1][1])
-                if size >= ROLL:
-                    yield close()
-                    kept, size, k = [], 0, k + 1
-        if kept:
-            yield close()
+                ids.append(i), kept.append(code(t) + tail)
+                size += len(kept[-1]) // 4
+                if size >= SEGMENT:
+                    yield row()
+                    ids, kept, size = [], [], 0
+        if ids:
+            yield row()
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        part, k, r = TaskContext.get().partitionId(), 0, next(rows, None)
+        while r:
+            uri, n, tokens = f"{folder}/part-{part:06d}-{k:05d}.tok", 0, 0
+            with fsio.output(uri) as out:
+                out.write(MAGIC)
+                while r and tokens < ROLL:
+                    out.write(section(r["head"])), out.write(section(r["coded"]))
+                    n, tokens, r = n + r["docs"], tokens + r["tokens"], next(rows, None)
+            k += 1
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64()), pa.array([tokens], pa.int64())], names=["file", "docs", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
-    return stage(ordered.mapInArrow(run, "file string, docs long, tokens long"), "token-files")
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")  # the same files when a task is run again
+    segments = ordered.mapInArrow(cut, "head binary, docs long, tokens long, ids binary")
+    coded = segments.select("head", "docs", "tokens", coder.encode(spark, F.col("ids")).alias("coded"))
+    return stage(coded.mapInArrow(save, "file string, docs long, tokens long"), "token-files")
 
 
 def read(files: DataFrame) -> DataFrame:
     """``(id, start, ids)`` of the documents of files as :func:`write` returns them; start: ids of all documents before.
 
-    ids: binary, little-endian unsigned 32-bit.
+    ids: binary, little-endian unsigned 32-bit.  Damaged files fail.
     """
+    spark = files.sparkSession
+    bounded_batches(spark)
     before = F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
     todo = files.select("file", before.alias("base"))  # a row a file
     todo = todo.repartition(min(10_000, max(1, files.count())), "file")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fsio.source(uri) as f:
-                    docs = unpack_file(f.read())
-                for a in range(0, len(docs), 1000):
-                    some = docs[a : a + 1000]
-                    starts = start + np.cumsum([0, *(len(x) for _, x in some)])
-                    start = int(starts[-1])
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(starts[:-1]), pa.array([x.astype("<u4").tobytes() for _, x in some], pa.binary())], names=["id", "start", "ids"])
-
-    return todo.mapInArrow(run, "id long, start long, ids binary")
+                    parts = sections(f)
+                    for head, coded in zip(parts, parts, strict=True):
+                        yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([head], pa.binary()), pa.array([coded], pa.binary())], names=["start", "head", "coded"])
+                        start += struct.unpack_from("<QQ", head)[1]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for start, head, data in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            ids, sizes = unpack_docs(head)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            if 4 * ends[-1] != len(data):
+                raise ValueError("damaged: numbers of tokens")
+            for a in range(0, len(ids), 1000):
+                at = ends[a : a + 1000]
+                first = at - sizes[a : a + 1000]
+                tokens = [data[4 * x : 4 * y] for x, y in zip(first.tolist(), at.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 1000], pa.int64()), pa.array(first + start), pa.array(tokens, pa.binary())], names=["id", "start", "ids"])
+
+    segments = todo.mapInArrow(load, "start long, head binary, coded binary")
+    return segments.select("start", "head", coder.decode(spark, F.col("coded")).alias("data")).mapInArrow(split, "id long, start long, ids binary")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
 Byte-level BPE codes each pre-token by itself, and a space before a character that isn't one always begins a pre-token.
-So a text without runs of spaces is coded space by space: each stretch between spaces is looked up in the worker's
-table, and only stretches not seen before are cut into pre-tokens and given to the library's model.  Other texts, and
-texts that hold the string of an added token, go through the library whole.
+So a text is coded space by space: each stretch behind a space is looked up in the worker's table.  Stretches not seen
+before are cut into pre-tokens, which are given to the library's model; those in characters that Unicode versions sort
+differently are given to the library together, as one text, whose ids are cut where a token begins with a space.  Texts
+with white space behind a space, or with the string of an added token, go through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from functools import lru_cache
@@ -15,8 +17,14 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Entries of a worker's table of stretches and of its table of pre-tokens; a full table is emptied.
-CACHE, PIECES = 500_000, 100_000
+#: Entries of a generation of a worker's table of stretches, and characters of one; a full generation becomes the old one.
+CACHE, LONG = 600_000, 64
+#: Entries of a worker's table of pre-tokens; a full table is emptied.
+PIECES = 50_000
+#: Below it, every Unicode version sorts the characters alike: Latin, Greek and Cyrillic.
+SETTLED = "\u0530"
+#: Stretches that are given to the library at a time.
+TOGETHER = 1_024
 #: The pre-token pattern of byte-level BPE files (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -29,64 +37,119 @@ def byte_letters() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, added: bool = False):
-        """added: the strings of added tokens in a text are those tokens, as the library has it by default."""
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = not added
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
-        self.model = self.library.model
+        with open(path, encoding="utf-8") as f:
+            self._check(json.load(f))
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.letters = byte_letters()
-        self.pieces = regex.compile(PATTERN).findall
+        self.space = self.letters[ord(" ")]
+        self.begins[[i for t, i in vocab.items() if t.startswith(self.space)]] = True
+        self.model, self.cut = self.library.model, regex.compile(PATTERN).findall
+        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def _check(file: dict) -> None:
+        """Refuse files whose ids depend on more than the pre-token, or whose pre-tokens aren't the usual ones."""
+        before, model = file.get("pre_tokenizer") or {}, file["model"]
+        if file.get("normalizer") or model.get("type") != "BPE" or model.get("dropout") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("not a plain byte-level BPE file: no normalizer, no prefix space, the usual pre-tokens")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
     def _token(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.tokens.get(piece)
-        if ids is None:
-            if len(self.tokens) >= PIECES:
-                self.tokens.clear()
-            ids = self.tokens[piece] = self._token(piece)
+        if (ids := self.pieces.get(piece)) is None:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            ids = self._token(piece)
+            if len(piece) <= LONG:
+                self.pieces[piece] = ids
         return ids
 
-    def _stretch(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.pieces(text)))
-
-    def _word(self, x: str) -> bytes:
-        """A stretch behind a space; words of letters, alone or before a stop, need no search for pre-tokens."""
-        if x.isalpha():
-            return self._token(" " + x)
-        if x[-1] in ".," and x[:-1].isalpha():
-            return (self.known.get(x[:-1]) or self._token(" " + x[:-1])) + self._piece(x[-1])
-        return self._stretch(" " + x)
+    def _word(self, w: str) -> bytes:
+        """Ids of a stretch behind a space; letters, alone or before a stop, need no search for pre-tokens."""
+        if w.isalpha():
+            return self._letters(w)
+        if w[-1] in ".," and w[:-1].isalpha():
+            return (self.known.get(w[:-1]) or self._letters(w[:-1])) + self._piece(w[-1])
+        if "\n" in w:
+            first, *lines = w.split("\n")
+            if first and all(lines) and not any(map(str.isspace, "".join([first[-1], *(x[0] + x[-1] for x in lines)]))):
+                # a line break between two other characters is a pre-token, and what is behind it has no space
+                return (self.known.get(first) or self._word(first)) + b"".join([self._piece("\n") + self._line(x) for x in lines])
+        return b"".join(map(self._piece, self.cut(" " + w)))
+
+    def _letters(self, w: str) -> bytes:
+        if w.isascii():
+            return array("I", [t.id for t in self.model.tokenize(self.space + w)]).tobytes()
+        return self._token(" " + w)
+
+    def _line(self, w: str) -> bytes:
+        """Ids of a stretch behind a line break."""
+        if w.isalpha():
+            return self._piece(w)
+        return b"".join(map(self._piece, self.cut(w)))
+
+    def _look_up(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of stretches behind a space, none of which begins with white space."""
+        out = {}
+        for k in range(0, len(stretches), TOGETHER):
+            some = stretches[k : k + TOGETHER]
+            raw = self._whole(" " + " ".join(some))
+            at = np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]).tolist()
+            out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(some, at, [*at[1:], len(raw) // 4], strict=True)}
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if "  " in text or text.endswith(" ") or any(x in text for x in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        ids = list(map(self.known.get, rest))
+        if any(x in text for x in self.added):
+            return self._whole(text)
+        words = text.split(" ")
+        known = self.known
+        ids = list(map(known.get, words))
+        first = words[0]
+        ids[0] = b"".join(map(self._piece, self.cut(first))) if not first or max(first) < SETTLED else self._whole(first)
         if None in ids:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            known, word = self.known, self._word
-            for k, x in enumerate(ids):
+            at = [k for k, x in enumerate(ids) if x is None]
+            others = []
+            for k in at:
+                w = words[k]
+                if not w or w[0].isspace():  # a run of white space
+                    return self._whole(text)
+                if (x := self.old.get(w)) is None and (w.isascii() or max(w) < SETTLED):
+                    x = self._word(w)
                 if x is None:
-                    w = rest[k]
-                    ids[k] = x = known.get(w) or word(w)
-                    known[w] = x
-        return self._stretch(first) + b"".join(ids)
+                    others.append(w)
+                else:
+                    ids[k] = known[w] = x
+            if others:
+                found = self._look_up(others)
+                for k in at:
+                    if ids[k] is None:
+                        ids[k] = known[words[k]] = found[words[k]]
+            for k in at:
+                if len(words[k]) > LONG:
+                    known.pop(words[k], None)
+            if len(known) >= CACHE:
+                self.known, self.old = {}, known
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file."""
-    return Encoder(path, added=True)
+    return Encoder(path)
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:

@@ -65,7 +65,11 @@ def free(columns: list[str], name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder.  One with fewer splits than there are cores (a file of one row group) is dealt out to all:
+    its rows are texts that take long each.  Larger tables are read as they are split."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:

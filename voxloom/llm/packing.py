@@ -26,8 +26,9 @@ from .tokens import default_path, encoder
 WINDOW = 1024
 END = 0
 ROUNDS = 300
-#: Rows of the table of ranks (partitions times lengths) up to which it is broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Rows of the table of ranks (partitions times lengths) up to which it is broadcast: about 60 MB at the 110 bytes that a
+#: row of a broadcast table takes. Beyond, the documents are joined by partition and length.
+BROADCAST_ROWS = 500_000
 
 
 def combinations(lengths: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -151,8 +152,8 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, window: int = WINDOW) -> DataFrame:
     """One row a piece: ``id, start, length, ids`` (binary, little-endian 32-bit)``, doc_tokens, sequence_id, offset``.
 
-    Null texts count as empty and give their end id; rows with repeated or null ids are packed each.  Empty table: no
-    rows.  Sequences have at most ``window`` tokens; all but up to ten have exactly so many, and those are powers of two.
+    Null texts count as empty and give their end id; rows with repeated or null ids are packed each; a text longer than
+    a window fills windows of its own.  Other columns, whatever their names, are left aside.  Empty table: no rows.  Sequences have at most ``window`` tokens; all but up to ten have exactly so many, and those are powers of two.
     """
     spark = docs.sparkSession
     rows = stage(tokenized(docs, path or default_path(), id_col, text_col, end, window), "tokens")

@@ -410,21 +410,21 @@ def test_mcd_against_all_subsets(spark):
     rng, groups = np.random.default_rng(2), {}
     for k in range(12):
         v = rng.normal(size=(13, quality.P)) @ rng.normal(size=(quality.P, quality.P)) * FLOOR * 8
-        v[: k % 4] += rng.normal(size=quality.P) * FLOOR * 60
+        v[: 3 * (k < 8)] += rng.choice([-1, 1], quality.P) * FLOOR * 120  # the first eight have a heap of outliers
         groups[f"g{k:02d}"] = np.rint(v).astype(np.int64)
     got = {r._source: r for r in quality.estimates(vector_rows(spark, groups), least=1).collect()}
     h, equal = math.ceil(quality.SHARE * 13), 0
     for name, v in groups.items():
         dets = {s: np.linalg.slogdet(shape_of(v[list(s)])[1])[1] for s in itertools.combinations(range(13), h)}
         best = min(dets, key=dets.get)
-        equal += abs(got[name].logdet - dets[best]) < 1e-6
+        equal += abs(got[name].logdet - dets[best]) < 1e-6 and name < "g08"
         assert got[name].logdet < np.quantile(list(dets.values()), 0.1)  # elsewhere a local minimum
         if abs(got[name].logdet - dets[best]) < 1e-6:
             m, c = shape_of(v[list(best)])
             assert np.allclose([got[name][f"m{i}"] for i in range(quality.P)], m)
             lower = np.linalg.cholesky(c)
             assert np.allclose([got[name][f"l{i}{j}"] for i, j in quality.PAIRS], [lower[i, j] for i, j in quality.PAIRS])
-    assert equal >= 8, equal
+    assert equal == 8, equal  # without outliers, many subsets are nearly as good
 
 
 def test_mcd_is_not_moved_by_outliers(spark):

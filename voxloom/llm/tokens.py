@@ -83,11 +83,10 @@ class Encoder:
             return self._letters(w)
         if w[-1] in ".," and w[:-1].isalpha():
             return (self.known.get(w[:-1]) or self._letters(w[:-1])) + self._piece(w[-1])
-        if "\n" in w:
-            first, *lines = w.split("\n")
-            if first and all(lines) and not any(map(str.isspace, "".join([first[-1], *(x[0] + x[-1] for x in lines)]))):
-                # a line break between two other characters is a pre-token, and what is behind it has no space
-                return (self.known.get(first) or self._word(first)) + b"".join([self._piece("\n") + self._line(x) for x in lines])
+        if "\n" in w and (lines := w.split("\n")) == w.split():
+            # a line break between two other characters is a pre-token, and what is behind it has no space
+            first = lines[0]
+            return (self.known.get(first) or self._word(first)) + b"".join([self._piece("\n") + self._line(x) for x in lines[1:]])
         return b"".join(map(self._piece, self.cut(" " + w)))
 
     def _letters(self, w: str) -> bytes:

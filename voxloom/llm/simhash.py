@@ -9,7 +9,7 @@ lies within the radius, any b within t of it has been replicated there: no link
 23-bit blocks use the perfect binary Golay code (radius 3), other bits stand for themselves (radius 0).
 
 Fingerprints of four-word shingles at 4 bits are what :func:`near_duplicates` takes; :func:`keep_one` takes five-word
-shingles at 7 bits, which texts with a similarity of 0.9 or more mostly keep to.
+shingles at 7 bits, what a similarity of 0.9 gives on average.  The similarity itself is not computed.
 """
 
 from __future__ import annotations

@@ -244,6 +244,37 @@ def test_cells_by_the_fold(spark):
     assert sorted(r.cell_id for r in cells.merge_tiles(c, 0.8, 8.0).collect()) == sorted(r[2] for r in kept)
 
 
+def shuffled(spark):
+    """Rows that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_cells_crowded_within_distance_max(spark):
+    """Pairs within distance_max are compared, never shuffled; cells at one place, or with a coordinate that is no number, are right."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    z, y, x = rng.normal(0, 4, (3, n))
+    z[:20], y[:20], x[:20] = 1.0, 2.0, 3.0
+    z[20:40], y[20:40], x[20:40] = z[21], y[21], x[21] + np.arange(20) * 1e-3
+    z[-1], y[-2] = np.inf, np.nan
+    rows = [(0, k % 2, k, float(z[k]), float(y[k]), float(x[k])) for k in range(n)]
+    c = spark.createDataFrame(rows, "row int, col int, cell_id long, z double, y double, x double")
+    p = np.stack([z, y, x], 1)
+    for ratio in (0.0, 0.6, 1.0):
+        want = set()
+        for k in range(0, n - 2, 2):
+            d = np.sqrt(((p[k] - p[1 : n - 2 : 2]) ** 2).sum(1))
+            i, j = np.lexsort((np.arange(len(d)), d))[:2]
+            if d[i] < 20 and d[i] < ratio * d[j]:
+                want.add((k, 2 * int(i) + 1))
+        before = shuffled(spark)
+        assert {(r.id1, r.id2) for r in cells.tile_matches(c, ratio, 20.0).collect()} == want
+        if ratio:
+            assert want and shuffled(spark) - before < 100 * n
+
+
 def test_clahe_widens_contrast(spark):
     rng = np.random.default_rng(3)
     volume = rng.integers(1000, 1100, (1, 32, 32))

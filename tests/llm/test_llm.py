@@ -720,6 +720,25 @@ def test_training_takes_texts_whole(spark):
     assert sum(plain_forward(better, s) for s in seqs) > log
 
 
+def test_hmm_unrolled_recursions(spark):
+    """Six states and less go by unrolled recursions, scaled each eighth token: the same counts as seven's, of which one is never entered, in less time."""
+    rng = np.random.default_rng(5)
+    six = hmm.Model.of_counts(rng.random(6) * 9, rng.random((6, 6)) ** 4 * 40, rng.random((50, 6)) ** 9 * 1000)
+    wide = hmm.Model(np.append(six.start, 0), np.pad(six.move, (0, 1)), np.pad(six.emit, ((0, 0), (0, 1))))
+    lengths = np.array([0, 1, 7, 8, 9, 15, 16, 17, 4095, 4096, 4097, 8192, 8200, 9001, 300_000], "<i4")
+    seq = rng.integers(0, 50, lengths.sum()).astype("<u2").tobytes()
+    counts, seconds = {}, {}
+    for states, model in ((6, six), (7, wide)):
+        for _ in range(7):
+            start = time.perf_counter()
+            got = jvm.call(spark, "Hmm", "expected", model.bytes, seq, lengths.tobytes())
+            seconds[states] = min(seconds.get(states, 1e9), time.perf_counter() - start)
+        counts[states] = np.frombuffer(got, "<i8").reshape(50 + states + 2, states)
+    inner = np.delete(np.delete(counts[7], 6, 1), 56, 0)
+    assert np.abs(inner - counts[6]).max() <= 1 and not counts[7][:, 6].any()
+    assert seconds[6] < 0.6 * seconds[7]
+
+
 def test_hmm_odd_rows(odd, none, clash):
     got = hmm.scores(clash, F.col("doc_id") < 8).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got)

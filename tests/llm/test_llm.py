@@ -10,9 +10,11 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -739,6 +741,28 @@ def test_hmm_unrolled_recursions(spark):
     assert seconds[6] < 0.6 * seconds[7]
 
 
+def test_hmm_bundles_are_made_once(spark, monkeypatch):
+    """Training reads bundles from files, a few of the large rows at a time, and deletes them."""
+    seqs = [np.full(n, n % 50, "<u2").tobytes() for n in [*range(0, 3000, 10), *range(hmm.BUNDLE, hmm.BUNDLE + 5)]]
+    rows = spark.createDataFrame([(bytearray(x),) for x in seqs], "classes binary").coalesce(1)
+    monkeypatch.setattr(hmm, "BUNDLE_FILES", hmm.BUNDLE_FILES | {"parquet.block.size": str(1 << 22)})
+    made = []
+    monkeypatch.setattr(hmm, "stage", lambda *a: made.append(common.stage(*a)) or made[-1])
+    frame = hmm.bundled(rows)
+    assert "MapInArrow" not in frame._jdf.queryExecution().toString()
+    got = []
+    for r in frame.collect():
+        ends = 2 * np.cumsum(np.frombuffer(r.lengths, "<i4"))
+        got += [bytes(r.seq[a:b]) for a, b in zip([0, *ends], ends)]
+        assert ends[-1] == len(r.seq)
+    assert sorted(got) == sorted(seqs)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in frame.inputFiles()]
+    assert len(got) > 5 and max(f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)) <= 3
+    model = hmm.baum_welch(rows, 2, 50)
+    assert np.isfinite(model.emit).all() and len(made) == 2
+    assert frame.inputFiles() and not Path(made[1].inputFiles()[0].removeprefix("file:")).exists()
+
+
 def test_hmm_odd_rows(odd, none, clash):
     got = hmm.scores(clash, F.col("doc_id") < 8).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from voxloom.llm import coder, common, components, hmm, html, jvm, langid, packing, pieces, quality, queries, simhash, tokenfile, tokens, topk, warc
+from voxloom.llm import coder, common, components, hmm, html, jvm, langid, packing, pieces, quality, queries, simhash, tokenfile, tokens, topk, warc, words
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -253,6 +253,22 @@ def test_encoder_equals_library():
     assert not any(len(w) > tokens.LONG for w in e.known)
 
 
+def test_library_gets_only_what_the_executor_lacks(spark):
+    """Texts coded by an executor's table, what it lacked filled in, equal the library's; a second time nothing is lacking."""
+    rng = random.Random(2)
+    parts = ["a", "Ab", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "é", "Ж", "²", "1", "'s", "'", ".", "<|endoftext|>", "日本", "\x1c", "\x85", "\u0378", "\u052f", "\u0530", "\u00d7", "\U0001f600", "the", "don't", "!"]
+    weights = [4, 4, 12, 0.3, 2, 1, 1, 0.3, 1, 1, 1, 1, 1, 1, 1, 0.1, 1, 0.2, 0.2, 0.3, 0.3, 0.3, 0.3, 0.3, 2, 2, 1]
+    cases = ["", " ", " a", "a ", "x " + "long" * 500 + " x", "\n\n a", "l'été, it'll", "x \x1c", *("".join(rng.choices(parts, weights, k=rng.randrange(30))) for _ in range(4000)), *(prose(k, 300) for k in range(20))]
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").coalesce(1)
+    files = tokenfile.write(rows, common.new_path(spark, "t"))
+    got = {r.id: bytes(r.ids) for r in tokenfile.read(files).collect()}
+    assert [got[k] for k in range(len(cases))] == [x.tobytes() for x in library_ids(cases, 2)]
+    again = rows.select("doc_id", words.code(spark, tokens.default_path(), F.col("text"))).select("doc_id", "coded.*").collect()
+    lacking = [x for r in again for x in (bytes(r.pieces) + bytes(r.stretches)).decode().split("  ")]
+    assert max(map(len, lacking)) > 1000 and {len(x.encode()) > 128 for x in lacking if x} == {True}
+    assert {cases[r.doc_id] for r in again if r.whole is not None} >= {" ", "a ", "x \x1c"}
+
+
 def test_tables_of_words_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 50)
     e = tokens.Encoder(tokens.default_path())

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import coder, fsio
-from .common import bounded_batches, new_path, stage, table, texts
+from . import coder, fsio, words
+from .common import bounded_batches, new_path, stage, table
 from .tokens import default_path, encoder
 
 MAGIC = b"VXTOKEN2"
@@ -69,21 +69,29 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     spark = docs.sparkSession
     path = path or default_path()
     bounded_batches(spark)
-    tail = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, ids, kept, size = encoder(path).encode, [], [], 0
+        lacking, ids, sizes, coded, keys, found, size = encoder(path).lacking, [], [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pack_docs(ids, [len(x) // 4 for x in kept])]), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([b"".join(kept)], pa.binary())], names=["head", "docs", "tokens", "ids"])
+            parts = [pack_docs(ids, sizes), b"".join(coded), b"  ".join(keys), b"".join(found)]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts] + [pa.array([x], pa.int64()) for x in (len(ids), size)], names=["head", "ids", "keys", "found", "docs", "tokens"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), texts(b, "text"), strict=True):
-                ids.append(i), kept.append(code(t) + tail)
-                size += len(kept[-1]) // 4
+            for i, some, *lacks in zip(b.column(0).to_pylist(), *(c.to_pylist() for c in b.column(1).flatten()), strict=True):
+                new, n = lacking(*lacks), len(some) // 4
+                counts = [len(x) // 4 for x in new]
+                if new:
+                    open_ = np.frombuffer(some, "<i4")[:-1]
+                    open_ = -1 - open_[open_ < 0]
+                    n += int(np.array(counts)[open_].sum()) - len(open_)
+                ids.append(i), sizes.append(n), coded.append(some)
+                size += n
+                keys += filter(None, lacks[:2])
+                found += struct.pack(f"<{2 + len(new)}I", 0 if lacks[2] is not None else len(new), len(new), *counts), *new
                 if size >= SEGMENT:
                     yield row()
-                    ids, kept, size = [], [], 0
+                    ids, sizes, coded, keys, found, size = [], [], [], [], [], 0
         if ids:
             yield row()
 
@@ -102,8 +110,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")  # the same files when a task is run again
-    segments = ordered.mapInArrow(cut, "head binary, docs long, tokens long, ids binary")
-    coded = segments.select("head", "docs", "tokens", coder.encode(spark, F.col("ids")).alias("coded"))
+    known = ordered.select("id", words.code(spark, path, F.col("text")))
+    segments = known.mapInArrow(cut, "head binary, ids binary, keys binary, found binary, docs long, tokens long")
+    ids = words.fill(spark, path, F.col("ids"), F.col("keys"), F.col("found"), end)
+    coded = segments.select("head", "docs", "tokens", coder.encode(spark, ids).alias("coded"))
     return stage(coded.mapInArrow(save, "file string, docs long, tokens long"), "token-files")
 
 

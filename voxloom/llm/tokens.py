@@ -110,6 +110,34 @@ class Encoder:
             out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(some, at, [*at[1:], len(raw) // 4], strict=True)}
         return out
 
+    def _plain(self, piece: str) -> bytes:
+        """Ids of a pre-token; printable ASCII stands for itself."""
+        if (ids := self.pieces.get(piece)) is None:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            if piece.isascii() and piece.isprintable():
+                ids = array("I", [t.id for t in self.model.tokenize(piece.replace(" ", self.space))]).tobytes()
+            else:
+                ids = self._token(piece)
+            if len(piece) <= LONG:
+                self.pieces[piece] = ids
+        return ids
+
+    def lacking(self, pieces: bytes, stretches: bytes, whole: bytes | None) -> list[bytes]:
+        """Ids of what ``WordTable.code`` left open in a text: pre-tokens, then stretches; or the whole text."""
+        if whole is not None:
+            return [self._whole(whole.decode())]
+        out = [self._plain(x) for x in pieces.decode().split("  ")] if pieces else []
+        if stretches:
+            odd = stretches.decode().split("  ")
+            found = self._look_up([w[1:] for w in odd if w[0] == " " and max(w) >= SETTLED])
+            for w in odd:
+                if max(w) < SETTLED:
+                    out.append(b"".join(map(self._piece, self.cut(w))))
+                else:
+                    out.append(found[w[1:]] if w[0] == " " else self._whole(w))
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(x in text for x in self.added):

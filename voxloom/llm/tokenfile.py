@@ -71,13 +71,13 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     bounded_batches(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lacking, ids, sizes, coded, keys, found, size = encoder(path).lacking, [], [], [], [], [], 0
+        lacking, ids, sizes, coded, found, size = encoder(path).lacking, [], [], [], [], 0
 
-        def row() -> pa.RecordBatch:
-            parts = [pack_docs(ids, sizes), b"".join(coded), b"  ".join(keys), b"".join(found)]
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts] + [pa.array([x], pa.int64()) for x in (len(ids), size)], names=["head", "ids", "keys", "found", "docs", "tokens"])
+        def row(*parts: bytes | None, docs: int = 0, tokens: int = 0) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts] + [pa.array([x], pa.int64()) for x in (docs, tokens)], names=["head", "ids", "keys", "found", "docs", "tokens"])
 
         for b in batches:
+            keys, values = [], []
             for i, some, *lacks in zip(b.column(0).to_pylist(), *(c.to_pylist() for c in b.column(1).flatten()), strict=True):
                 new, n = lacking(*lacks), len(some) // 4
                 counts = [len(x) // 4 for x in new]
@@ -85,18 +85,22 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
                     open_ = np.frombuffer(some, "<i4")[:-1]
                     open_ = -1 - open_[open_ < 0]
                     n += int(np.array(counts)[open_].sum()) - len(open_)
+                    if lacks[2] is None:
+                        keys += filter(None, lacks[:2])
+                        values += new
                 ids.append(i), sizes.append(n), coded.append(some)
+                found += struct.pack(f"<{1 + len(new)}I", len(new), *counts), *new
                 size += n
-                keys += filter(None, lacks[:2])
-                found += struct.pack(f"<{2 + len(new)}I", 0 if lacks[2] is not None else len(new), len(new), *counts), *new
                 if size >= SEGMENT:
-                    yield row()
-                    ids, sizes, coded, keys, found, size = [], [], [], [], [], 0
+                    yield row(pack_docs(ids, sizes), b"".join(coded), None, b"".join(found), docs=len(ids), tokens=size)
+                    ids, sizes, coded, found, size = [], [], [], [], 0
+            if keys:  # the executor learns them now, not with the segment
+                yield row(None, None, b"  ".join(keys), struct.pack(f"<{1 + len(values)}I", len(values), *(len(x) // 4 for x in values)) + b"".join(values))
         if ids:
-            yield row()
+            yield row(pack_docs(ids, sizes), b"".join(coded), None, b"".join(found), docs=len(ids), tokens=size)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in b.to_pylist())
+        rows = (r for b in batches for r in b.to_pylist() if r["head"] is not None)
         part, k, r = TaskContext.get().partitionId(), 0, next(rows, None)
         while r:
             uri, n, tokens = f"{folder}/part-{part:06d}-{k:05d}.tok", 0, 0

@@ -21,6 +21,8 @@ import regex
 CACHE, LONG = 600_000, 64
 #: Entries of a worker's table of pre-tokens; a full table is emptied.
 PIECES = 50_000
+#: Entries of a worker's table of what its executor lacked; a full table is emptied.
+RECENT = 200_000
 #: Below it, every Unicode version sorts the characters alike: Latin, Greek and Cyrillic.
 SETTLED = "\u0530"
 #: Stretches that are given to the library at a time.
@@ -52,6 +54,7 @@ class Encoder:
         self.begins[[i for t, i in vocab.items() if t.startswith(self.space)]] = True
         self.model, self.cut = self.library.model, regex.compile(PATTERN).findall
         self.pieces: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -112,15 +115,15 @@ class Encoder:
 
     def _plain(self, piece: str) -> bytes:
         """Ids of a pre-token; printable ASCII stands for itself."""
-        if (ids := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
+        if (ids := self.recent.get(piece)) is None:
+            if len(self.recent) >= RECENT:
+                self.recent.clear()
             if piece.isascii() and piece.isprintable():
                 ids = array("I", [t.id for t in self.model.tokenize(piece.replace(" ", self.space))]).tobytes()
             else:
                 ids = self._token(piece)
             if len(piece) <= LONG:
-                self.pieces[piece] = ids
+                self.recent[piece] = ids
         return ids
 
     def lacking(self, pieces: bytes, stretches: bytes, whole: bytes | None) -> list[bytes]:

@@ -23,5 +23,5 @@ def code(spark: SparkSession, path: str, text: Column) -> Column:
 
 
 def fill(spark: SparkSession, path: str, ids: Column, keys: Column, found: Column, end: int) -> Column:
-    """The ids of documents, each with its end, when what was open is found."""
+    """The ids of documents, each with its end, when what was open is found; null for a row of keys to be learned."""
     return F.call_function(jvm.register(spark, "voxloom_words_fill", "WordTable", "Fill", "binary", path), ids, keys, found, F.lit(end))

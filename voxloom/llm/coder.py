@@ -23,3 +23,8 @@ def encode(spark: SparkSession, ids: Column, block: int = BLOCK) -> Column:
 def decode(spark: SparkSession, data: Column) -> Column:
     """The ids of a coded sequence; the query fails on damaged data."""
     return F.call_function(jvm.register(spark, "voxloom_tokens_decode", "TokenCoder", "Decode", "binary"), data)
+
+
+def cut(spark: SparkSession, ids: Column, sizes: Column) -> Column:
+    """An array of the runs of ids that have these sizes (32-bit integers); the query fails if they aren't all of them."""
+    return F.call_function(jvm.register(spark, "voxloom_tokens_cut", "TokenCoder", "Cut", "array<binary>"), ids, sizes)

@@ -21,7 +21,7 @@ from . import coder, fsio, words
 from .common import bounded_batches, new_path, stage, table
 from .tokens import default_path, encoder
 
-MAGIC = b"VXTOKEN2"
+MAGIC = b"VXTOKEN3"
 #: Tokens after which a segment and a file are closed.
 SEGMENT, ROLL = 1 << 20, 8 << 20
 END = 2
@@ -138,23 +138,14 @@ def read(files: DataFrame) -> DataFrame:
                 with fsio.source(uri) as f:
                     parts = sections(f)
                     for head, coded in zip(parts, parts, strict=True):
-                        yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([head], pa.binary()), pa.array([coded], pa.binary())], names=["start", "head", "coded"])
+                        ids, sizes = unpack_docs(head)
+                        starts = start + np.cumsum(sizes, dtype=np.int64) - sizes
+                        yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), pa.array([coded], pa.binary())], names=["id", "start", "sizes", "coded"])
                         start += struct.unpack_from("<QQ", head)[1]
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for start, head, data in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            ids, sizes = unpack_docs(head)
-            ends = np.cumsum(sizes, dtype=np.int64)
-            if 4 * ends[-1] != len(data):
-                raise ValueError("damaged: numbers of tokens")
-            for a in range(0, len(ids), 1000):
-                at = ends[a : a + 1000]
-                first = at - sizes[a : a + 1000]
-                tokens = [data[4 * x : 4 * y] for x, y in zip(first.tolist(), at.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 1000], pa.int64()), pa.array(first + start), pa.array(tokens, pa.binary())], names=["id", "start", "ids"])
-
-    segments = todo.mapInArrow(load, "start long, head binary, coded binary")
-    return segments.select("start", "head", coder.decode(spark, F.col("coded")).alias("data")).mapInArrow(split, "id long, start long, ids binary")
+    segments = todo.mapInArrow(load, "id array<long>, start array<long>, sizes binary, coded binary")
+    ids = coder.cut(spark, coder.decode(spark, F.col("coded")), F.col("sizes"))
+    return segments.select("id", "start", ids.alias("ids")).select(F.inline(F.arrays_zip("id", "start", "ids")))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -168,6 +168,20 @@ def test_range_coder_round_trip(spark):
     assert len(back[6].coded) * 8 / len(walk) < 5  # order 1 and 2 tell: order 0 needs 9 bits an id
 
 
+def test_search_past_what_contexts_remember(spark):
+    """Few letters, most of them remembered by a context: those left are found between them, and numbers of ids are checked."""
+    rng = np.random.default_rng(3)
+    for letters in (1, 2, 3, 5, 8, 9, 17, 40, 300):
+        for skew in (0.2, 1, 4):
+            ids = (letters * rng.random(3000) ** (1 + skew)).astype("<u4")
+            coded = jvm.call(spark, "TokenCoder", "encode", ids.tobytes(), 1000)
+            assert bytes(jvm.call(spark, "TokenCoder", "decode", bytes(coded))) == ids.tobytes()
+    rows = spark.createDataFrame([(bytearray(ids[:9].tobytes()), bytearray(np.array([4, 0, 5], "<u4").tobytes()), bytearray(np.array([4, 6], "<u4").tobytes()))], "ids binary, sizes binary, wrong binary")
+    assert [bytes(x) for x in rows.select(coder.cut(spark, F.col("ids"), F.col("sizes"))).first()[0]] == [ids[:4].tobytes(), b"", ids[4:9].tobytes()]
+    with pytest.raises(Exception, match="damaged"):
+        rows.select(coder.cut(spark, F.col("ids"), F.col("wrong"))).collect()
+
+
 def test_blocks_stand_alone(spark):
     """A block's bytes don't depend on those before it, and damage anywhere is found."""
     ids = np.random.default_rng(1).integers(0, 300, 3 * coder.BLOCK).astype("<u4")
